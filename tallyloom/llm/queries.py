@@ -10,7 +10,9 @@ from tallyloom.llm import encode, pack, repeats, sample, sketch
 from tallyloom.queries.common import fold_sql, table
 
 WANTED = [1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0]
-RATE, CAPACITY, REPEATED = 0.1, 4096, 0.4
+RATE, CAPACITY = 0.1, 4096
+#: A document is a case if more than this part of its words is repeated: 2 of 5, compared in whole numbers.
+REPEATED = (2, 5)
 
 
 def _measures(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +71,7 @@ def p8_method(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _repetition(spark, folder).where(F.col("repeated") > REPEATED * F.col("words")).select("doc_id")
+    return _repetition(spark, folder).where(F.col("repeated") * REPEATED[1] > F.col("words") * REPEATED[0]).select("doc_id")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,8 +92,10 @@ s AS (SELECT snz_uid, seq FROM n WHERE (seq::HUGEINT * {sample.GOLDEN} + {sample
 
 _WORDS = """
 WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM t WHERE len(w) >= 5),
-g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(w[i:i+4], chr(10)) ORDER BY i) AS k FROM i),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+n AS (SELECT doc_id, i, x || chr(10) || lead(x, 1) OVER d || chr(10) || lead(x, 2) OVER d || chr(10) || lead(x, 3) OVER d || chr(10) || lead(x, 4) OVER d AS five
+  FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, five ORDER BY i) AS k FROM n WHERE five IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS repeated FROM g, (SELECT unnest(range(0, 5)) AS o) WHERE k > 1 GROUP BY 1)
 """
 
@@ -105,7 +109,7 @@ SELECT m.label_measure, m.pct FROM measure_limits m JOIN r ON {fold_sql('m.label
 WHERE x < low_value OR x > high_value""",
     "p4_sample": _SAMPLE + "SELECT snz_uid, seq FROM s",
     "p4_rows": _SAMPLE + "SELECT * FROM output_long_thin WHERE identity_column IN (SELECT snz_uid FROM s)",
-    "p8_found": _WORDS + "SELECT t.doc_id FROM t JOIN r ON t.doc_id = r.doc_id WHERE repeated > 0.4 * len(w)",
+    "p8_found": _WORDS + "SELECT t.doc_id FROM t JOIN r ON t.doc_id = r.doc_id WHERE repeated * 5 > len(w) * 2",
     "p8_shares": _WORDS
     + "SELECT t.doc_id, coalesce(len(w), 0) AS words, coalesce(repeated, 0) AS repeated FROM t LEFT JOIN r ON t.doc_id = r.doc_id",
 }
