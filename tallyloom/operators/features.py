@@ -102,7 +102,8 @@ def entity_rows(features: DataFrame, spans: list[str]) -> DataFrame:
 def wide_features(rows: DataFrame, span: str, types: list[int | str], prefix: str = "c", keep: list[Column] | None = None) -> DataFrame:
     """Map rows as columns <prefix><type>_n and <prefix><type>_last for each listed type; 0 and NULL where there is none."""
     cols: list[Column] = []
-    for t in types:
-        cell = F.element_at("by_type", F.lit(t))[span]
-        cols += [F.coalesce(cell["n"], F.lit(0)).alias(f"{prefix}{t}_n"), cell["last_day"].alias(f"{prefix}{t}_last")]
+    for t in types:  # as text: hundreds of columns are parsed much faster than built call by call
+        key = f"'{t}'" if isinstance(t, str) else str(t)
+        cell = f"element_at(by_type, {key}).`{span}`"
+        cols += [F.expr(f"coalesce({cell}.n, 0)").alias(f"{prefix}{t}_n"), F.expr(f"{cell}.last_day").alias(f"{prefix}{t}_last")]
     return rows.select("entity", *(keep or []), *cols)
