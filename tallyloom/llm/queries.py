@@ -84,9 +84,9 @@ QUERIES = {
 }
 
 _SAMPLE = f"""
-WITH f AS (SELECT snz_uid, min(coalesce(loaded_at, TIMESTAMP '0001-01-01')) AS first_arrived
+WITH f AS (SELECT snz_uid, CASE WHEN count(*) = count(loaded_at) THEN min(loaded_at) END AS first_arrived
   FROM data_project_population WHERE snz_uid IS NOT NULL GROUP BY 1),
-n AS (SELECT snz_uid, row_number() OVER (ORDER BY first_arrived, snz_uid) - 1 AS seq FROM f),
+n AS (SELECT snz_uid, row_number() OVER (ORDER BY first_arrived NULLS FIRST, snz_uid) - 1 AS seq FROM f),
 s AS (SELECT snz_uid, seq FROM n WHERE (seq::HUGEINT * {sample.GOLDEN} + {sample.SHIFT}) % {1 << sample.BITS} < {int(RATE * (1 << sample.BITS))})
 """
 

@@ -30,13 +30,13 @@ def point(seq: Column, shift: int = SHIFT) -> Column:
 def sequence_numbers(df: DataFrame, id_col: str, arrived: str) -> DataFrame:
     """id_col, first_arrived, seq: each different id once, numbered from 0 in order of first arrival, then id.
 
-    NULL ids are no members. A NULL arrival counts as before every other. Repeated rows, other columns and the rows'
+    NULL ids are no members. A NULL arrival is before every other, and first_arrived is then NULL. Repeated rows, other columns and the rows'
     partitioning make no difference. An empty table gives none.
     """
     first = (
         df.where(F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
-        .agg(F.min(F.coalesce(F.col(arrived).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))).alias("first_arrived"))
+        .agg(F.when(F.count_if(F.col(arrived).isNull()) == 0, F.min(F.col(arrived).cast("timestamp"))).alias("first_arrived"))
     )
     return with_positions(first, ["first_arrived", "id"], name="seq").select(F.col("id").alias(id_col), "first_arrived", "seq")
 
