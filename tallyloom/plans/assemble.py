@@ -1,8 +1,8 @@
 """Cohort assembly: population periods joined to measure spells, summarised nine ways, as a long-thin and a wide table.
 
-Measures on the same table, identity and spell dates share one join with each population row, and of them all that have a
-literal label share one grouping; labels from columns and histograms group by their label as well. Every part is grouped
-by the population's own columns, so partial sums are formed before the shuffle.
+All population rows are one table of members and periods. Measures on the same table, identity and spell dates share one
+join with it, and of them all that have a literal label share one grouping; labels from columns and histograms group by
+their label as well. Partial results are formed in the tasks of the join, before anything is shuffled again.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def _days(a: Column, b: Column) -> Column:
 
 
 def _factor() -> Column:
-    """Share of a spell's days that lie in the period."""
-    return _days(F.greatest("m_start", "p_start"), F.least("m_end", "p_end")) / _days(F.col("m_start"), F.col("m_end"))
+    """Share of a spell's days that lie in the period; NULL for a spell that ends the day before it starts, of no length."""
+    return F.try_divide(_days(F.greatest("m_start", "p_start"), F.least("m_end", "p_end")), _days(F.col("m_start"), F.col("m_end")))
 
 
 def summary_value(m: MeasureRow, value: Column, numeric: bool) -> Column:
@@ -68,16 +68,23 @@ def summary_value(m: MeasureRow, value: Column, numeric: bool) -> Column:
     return agg.cast("double")
 
 
-def _population(df: DataFrame, p: PopulationRow) -> DataFrame:
-    if not p.identity.is_column:
-        raise ValueError("the identity of a population must be a column")
-    return df.select(
-        p.identity.column().alias("p_id"),
-        p.label_identity.column().cast("string").alias("p_label"),
-        p.start.column().cast("date").alias("p_start"),
-        p.end.column().cast("date").alias("p_end"),
-        p.label_period.column().cast("string").alias("p_period"),
-    )
+def _people(populations: list[tuple[PopulationRow, DataFrame]]) -> DataFrame:
+    """All population rows' members and periods, numbered by row; rows on one table share a scan of it."""
+    by_table: dict[str, tuple[DataFrame, list[Column]]] = {}
+    for i, (p, df) in enumerate(populations):
+        if not p.identity.is_column:
+            raise ValueError("the identity of a population must be a column")
+        cells = F.struct(
+            F.lit(i).alias("p_no"),
+            p.identity.column().alias("p_id"),
+            p.label_identity.column().cast("string").alias("p_label"),
+            p.start.column().cast("date").alias("p_start"),
+            p.end.column().cast("date").alias("p_end"),
+            p.label_period.column().cast("string").alias("p_period"),
+        )
+        by_table.setdefault(p.table, (df, []))[1].append(cells)
+    each = [df.select(F.explode(F.array(*cells)).alias("p")).select("p.*") for df, cells in by_table.values()]
+    return reduce(DataFrame.unionByName, each).where("p_id is not null and p_start is not null and p_end is not null")
 
 
 def _joined(population: DataFrame, spells: DataFrame, s: _Spell, needed: list[str]) -> DataFrame:
@@ -93,6 +100,9 @@ def _joined(population: DataFrame, spells: DataFrame, s: _Spell, needed: list[st
 
 
 KEYS = ["p_id", "p_label", "p_start", "p_end", "p_period"]
+#: What a part groups by. As one structure it is not what the join was partitioned by, so partial results are formed in the
+#: join's tasks and shuffled by group: that leaves Spark free to split the join of an identity with very many spells.
+GROUP = ["p_no", *KEYS]
 
 
 def long_thin(populations: list[tuple[PopulationRow, DataFrame]], measures: list[tuple[MeasureRow, DataFrame]], development: bool = False) -> DataFrame:
@@ -108,11 +118,9 @@ def long_thin(populations: list[tuple[PopulationRow, DataFrame]], measures: list
         tables[m.table] = df
         if m.proportional and m.summary in IGNORES_PROPORTION:
             warnings.warn(f"proportional is ignored for {m.summary}", stacklevel=2)
-    parts = []
-    for p, population in populations:
-        people = _population(population, p)
-        for s, ms in groups.items():
-            parts += _parts(people, tables[s.table], s, ms)
+    # a development run cuts the parts of each population row, so they stay apart
+    people = [_people([p]) for p in populations] if development else [_people(populations)]
+    parts = [q for some in people for s, ms in groups.items() for q in _parts(some, tables[s.table], s, ms)]
     out = [q.limit(DEVELOPMENT_ROWS) if development else q for q in parts]
     return reduce(DataFrame.unionByName, out)
 
@@ -128,12 +136,13 @@ def _parts(people: DataFrame, table: DataFrame, s: _Spell, ms: list[MeasureRow])
     def value(m: MeasureRow) -> Column:
         return summary_value(m, at(m.value), m.value.is_column)
 
-    fields = [F.col(k).alias(f) for k, f in zip(KEYS, FIELDS)]
+    group = F.struct(*GROUP).alias("p")
+    fields = [F.col(f"p.{k}").alias(f) for k, f in zip(KEYS, FIELDS)]
     plain = [m for m in ms if not m.label.is_column and m.summary != "HISTOGRAM"]
     parts = []
     # one distinct aggregate at most per grouping: several would each multiply the joined rows
     for some in (x for x in ([m for m in plain if m.summary != "DISTINCT"], *[[m] for m in plain if m.summary == "DISTINCT"]) if x):
-        wide = joined.groupBy(*KEYS).agg(*[value(m).alias(f"v{i}") for i, m in enumerate(some)])
+        wide = joined.groupBy(group).agg(*[value(m).alias(f"v{i}") for i, m in enumerate(some)])
         pairs = F.explode(F.array(*[F.struct(F.lit(m.label.text).alias("label_measure"), F.col(f"v{i}").alias("value_measure")) for i, m in enumerate(some)]))
         parts.append(wide.select(*fields, pairs.alias("x")).select(*FIELDS, "x.*"))
     for m in ms:
@@ -144,7 +153,7 @@ def _parts(people: DataFrame, table: DataFrame, s: _Spell, ms: list[MeasureRow])
             text = number_text(at(m.value), types[m.value.text]) if m.value.is_column else F.lit(m.value.text)
             label = F.concat(label, F.lit("="), text)
         labelled = joined.withColumn("label_measure", label).where("label_measure is not null")
-        grouped = labelled.groupBy(*KEYS, "label_measure").agg(value(m).alias("value_measure"))
+        grouped = labelled.groupBy(group, "label_measure").agg(value(m).alias("value_measure"))
         parts.append(grouped.select(*fields, "label_measure", "value_measure"))
     return parts
 

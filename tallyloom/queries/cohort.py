@@ -105,7 +105,7 @@ def _pair_sql(p: dict[str, str], m: dict[str, str]) -> str:
     label, value, how = _text(m["label_measure"], "m"), _text(m["value_measure"], "m"), m["measure_summarised_by"]
     within = f"(1 + date_diff('day', greatest({ms}, {ps}), least({me}, {pe})))"
     whole = f"(1 + date_diff('day', {ms}, {me}))"
-    v = f"CAST({value} AS DOUBLE)" + (f" * (CAST({within} AS DOUBLE) / {whole})" if m["proportional"] == "TRUE" else "") if how in control.NUMERIC else value
+    v = f"CAST({value} AS DOUBLE)" + (f" * (CAST({within} AS DOUBLE) / nullif({whole}, 0))" if m["proportional"] == "TRUE" else "") if how in control.NUMERIC else value
     agg = {
         "MIN": f"min({v})",
         "MAX": f"max({v})",
@@ -120,15 +120,19 @@ def _pair_sql(p: dict[str, str], m: dict[str, str]) -> str:
     if how == "HISTOGRAM":
         label = f"{label} || '=' || {value}"
     return f"""SELECT p.snz_uid AS identity_column, {_text(p['label_identity'], 'p')} AS label_identity, {ps} AS summary_period_start_date,
-  {pe} AS summary_period_end_date, {pl} AS label_summary_period, {label} AS label_measure, round(CAST({agg} AS DOUBLE), 4) AS value_measure
+  {pe} AS summary_period_end_date, {pl} AS label_summary_period, {label} AS label_measure, CAST({agg} AS DOUBLE) AS value_measure
 FROM {p['table_name'][1:-1]} p JOIN {m['table_name'][1:-1]} m ON p.snz_uid = m.snz_uid AND {ps} <= {me} AND {ms} <= {pe}
 WHERE {label} IS NOT NULL GROUP BY ALL"""
 
 
-def _long_sql(names: list[str]) -> str:
+def _raw_sql(names: list[str]) -> str:
     return "\nUNION ALL\n".join(_pair_sql(p, MEASURES[n]) for p in POPULATIONS for n in names)
 
 
+def _long_sql(names: list[str]) -> str:
+    return f"SELECT * REPLACE (round(value_measure, 4) AS value_measure) FROM ({_raw_sql(names)})"
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("value_measure", F.round("value_measure", 4))
 
@@ -147,14 +151,14 @@ _LABELS = sorted(MEASURES[m]["label_measure"].strip('"') for m in FLAT)
 
 
 @query(
-    f"""WITH l AS ({_long_sql(FLAT)})
+    f"""WITH l AS ({_raw_sql(FLAT)})
 SELECT identity_column, label_identity, summary_period_start_date, summary_period_end_date, label_summary_period, """
-    + ", ".join(f"round(sum(CASE WHEN label_measure = '{x}' THEN value_measure ELSE 0 END), 3) AS {x}" for x in _LABELS)
+    + ", ".join(f"round(sum(CASE WHEN label_measure = '{x}' THEN value_measure ELSE 0 END), 4) AS {x}" for x in _LABELS)
     + " FROM l GROUP BY ALL"
 )
 def asm_rectangular(spark: SparkSession, folder: str) -> DataFrame:
-    wide = rectangular(_rounded(assembled(spark, folder, FLAT)))
-    return wide.select(*wide.columns[:5], *[F.round(c, 3).alias(c) for c in wide.columns[5:]])
+    wide = rectangular(assembled(spark, folder, FLAT), _LABELS)
+    return wide.select(*wide.columns[:5], *[F.round(c, 4).alias(c) for c in wide.columns[5:]])
 
 
 # Reshaping

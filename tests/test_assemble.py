@@ -102,12 +102,18 @@ def test_development_mode_and_control_files(spark, tables, tmp_path):
     assert long.count() == 53 and wide is None
 
 
-def test_one_join_per_spell_table_and_period(spark, tables):
+def test_one_join_per_spell_table(spark, tables):
     ps = [(p, spark.table(p.table)) for p in c.population_rows(c.read_control(spark, population()))]
     some = measures()[measures()["Measure_summarised_by"].isin(["SUM", "MAX", "MIN", "MEAN", "DURATION"])]
     ms = [(m, spark.table(m.table)) for m in c.measure_rows(c.read_control(spark, some))]
     plan = a.long_thin(ps, ms)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join Inner") == 2
+    assert plan.count("Join Inner") == 1
+
+
+def test_equal_population_rows_stay_apart(spark, tables):
+    twice = pd.concat([population().head(1), population().head(1)])
+    long, _ = a.assemble(spark, twice, measures().iloc[5:6], silent=True)
+    assert sorted(r["value_measure"] for r in long.collect()) == [80, 80, 100, 100]
 
 
 def test_null_and_boolean_values(spark, tables):
@@ -158,3 +164,11 @@ def test_values_to_sum_must_be_numbers(spark, tables):
     m.loc[2, "Measure_summarised_by"] = "SUM"
     with pytest.raises(ValueError, match="not a number"):
         a.assemble(spark, population(), m, silent=True)
+
+
+def test_spell_without_length_has_no_share(spark, tables):
+    ben = [(1, D(2012, 3, 10), D(2012, 3, 9), 5.0), (1, D(2012, 3, 10), D(2012, 3, 19), 7.0)]
+    spark.createDataFrame(ben, "snz_uid bigint, benefit_start_date date, benefit_end_date date, payments double").createOrReplaceTempView("tmp_benefits")
+    long, _ = a.assemble(spark, population(), measures(), silent=True)
+    got = {r["label_measure"]: r["value_measure"] for r in long.where("identity_column = 1 and label_identity = 'before'").collect()}
+    assert got["sum_benefit_within"] == 7 and got["sum_benefit_all"] == 12 and got["duration_all"] == 10
