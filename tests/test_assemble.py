@@ -172,3 +172,38 @@ def test_spell_without_length_has_no_share(spark, tables):
     long, _ = a.assemble(spark, population(), measures(), silent=True)
     got = {r["label_measure"]: r["value_measure"] for r in long.where("identity_column = 1 and label_identity = 'before'").collect()}
     assert got["sum_benefit_within"] == 7 and got["sum_benefit_all"] == 12 and got["duration_all"] == 10
+
+
+def test_join_of_a_hot_identity_may_be_split(spark, tables):
+    """A third of the spells on one identity: Spark splits the join, and the result stays the same."""
+    from pyspark.sql import functions as F
+
+    who = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997 + 2)
+    day = F.date_add(F.lit("2018-01-01").cast("date"), (F.col("id") % 300).cast("int"))
+    spells = spark.range(60_000).select(who.alias("snz_uid"), day.alias("benefit_start_date"), day.alias("benefit_end_date"), (F.col("id") % 7 + 0.25).alias("payments")).cache()
+    spells.createOrReplaceTempView("tmp_benefits")
+    people = spark.range(1, 1000).select(F.col("id").alias("snz_uid"), F.lit("2018-01-01").cast("date").alias("registration_date"), F.lit("2018-06-30").cast("date").alias("appointment_date"), F.lit("x").alias("appointment_type"))
+    people.createOrReplaceTempView("tmp_people")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "12",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ps = [(p, spark.table(p.table)) for p in c.population_rows(c.read_control(spark, population().head(1)))]
+        ms = [(m, spark.table(m.table)) for m in c.measure_rows(c.read_control(spark, measures().iloc[5:6]))]
+        out = a.long_thin(ps, ms)
+        got = {r["identity_column"]: r["value_measure"] for r in out.collect()}
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = {r[0]: r[1] for r in spells.where("benefit_start_date <= '2018-06-30'").groupBy("snz_uid").agg(F.sum("payments")).collect()}
+    spells.unpersist()
+    assert got == {k: v for k, v in want.items() if k < 1000}
