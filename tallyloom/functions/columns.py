@@ -39,3 +39,10 @@ def label_uniform(cols: list[Column]) -> Column:
     """
     text = F.array_join(F.array_sort(F.array_compact(F.array(*[c.cast("string") for c in cols]))), " ")
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def not_in(c: Column, values: list) -> Column:
+    """Whether a value is none of a list's; NULL is none of them unless the list holds it. Never NULL itself."""
+    known = [v for v in values if v is not None]
+    there = F.coalesce(c.isin(known), F.lit(False)) if known else F.lit(False)
+    return ~(there | c.isNull()) if None in values else ~there

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,19 @@ def randomly_rounded(x: Column, base: Column | int, u: Column) -> Column:
     return F.when(r == 0, x).otherwise(x - r + F.when(u < (base - r).cast("double") / base, F.lit(0)).otherwise(base))
 
 
+def round_values(values: list[float | None], base: int = 3, uniforms: list[float] | None = None) -> list[float | None]:
+    """The same of a few local values, with a uniform number for each, or fresh ones."""
+    uniforms = [random.random() for _ in values] if uniforms is None else uniforms
+    if len(uniforms) != len(values):
+        raise ValueError("a uniform number is needed for each value")
+
+    def one(x: float | None, u: float) -> float | None:
+        r = None if x is None or x != x else x % base
+        return x if not r else x - r if u < (base - r) / base else x - r + base
+
+    return [one(x, u) for x, u in zip(values, uniforms)]
+
+
 def _rounded(df: DataFrame, columns: list[str], base_of, stable: list[str] | None) -> DataFrame:
     if missing := [c for c in [*columns, *(stable or [])] if c not in df.columns]:
         raise ValueError(f"columns missing: {missing}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def union_all(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return a.select(*map(quoted, columns)).unionByName(b.select(*map(quoted, columns)))
 
 
+def bind_rows(*tables: DataFrame) -> DataFrame:
+    """Tables one below the other, columns by name; columns that a table lacks are NULL in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def distinct_labels(df: DataFrame, label: str) -> list[str]:
     """Sorted different labels, NULL left out: they become columns, so more than MOST_LABELS are an error."""
     rows = df.select(quoted(label).cast("string")).where(quoted(label).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import not_in
 from tallyloom.operators import checks, confidential, disclosure, profile, reshape, summarise
 from tallyloom.plans import control
 from tallyloom.plans.assemble import long_thin, rectangular
@@ -195,6 +196,43 @@ def union_all_accounts(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.union_all(c, s, ["nationkey", "acctbal"])
 
 
+@query(
+    """SELECT n_name AS name, n_regionkey AS regionkey, NULL::DOUBLE AS acctbal FROM nation
+UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier"""
+)
+def bind_rows(spark: SparkSession, folder: str) -> DataFrame:
+    n = table(spark, folder, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("regionkey"))
+    s = table(spark, folder, "supplier").select(F.col("s_acctbal").alias("acctbal"), F.col("s_name").alias("name"))
+    return reshape.bind_rows(n, s)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de')")
+def filter_not_in(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where(not_in(F.col("lang"), ["en", "de"])).select("doc_id", "lang")
+
+
+@query(
+    """SELECT coalesce(a.snz_uid, b.snz_uid) AS snz_uid, accidents, payments FROM
+(SELECT snz_uid, count(*) AS accidents FROM data_accidents WHERE snz_uid IS NOT NULL GROUP BY 1) a
+FULL JOIN (SELECT snz_uid, count(*) AS payments FROM data_benefit_payment WHERE snz_uid IS NOT NULL GROUP BY 1) b ON a.snz_uid = b.snz_uid"""
+)
+def full_join_persons(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = (table(spark, folder, t).where("snz_uid is not null").groupBy("snz_uid").agg(F.count(F.lit(1)).alias(n)) for t, n in ((ACCIDENTS, "accidents"), (BENEFITS, "payments")))
+    return a.join(b, "snz_uid", "full_outer")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'small' WHEN o_totalprice < 200000 THEN 'middle' END AS size_band,
+  date_trunc('month', o_orderdate)::DATE AS month, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') AS age FROM orders"""
+)
+def categorised_orders(spark: SparkSession, folder: str) -> DataFrame:
+    price, day = F.col("o_totalprice"), F.col("o_orderdate").cast("date")
+    band = F.when(price < 50000, "small").when(price < 200000, "middle")
+    return table(spark, folder, "orders").select(
+        "o_orderkey", band.alias("size_band"), F.trunc(day, "month").alias("month"), F.datediff(F.lit("2002-01-01").cast("date"), day).cast("bigint").alias("age")
+    )
+
+
 # Checks
 
 
@@ -401,6 +439,29 @@ def expanded_zero_counts(spark: SparkSession, folder: str) -> DataFrame:
     return disclosure.expand_to_include_zero_counts(confidentialised(spark, folder))
 
 
+@query(
+    f"""WITH {_CONF} SELECT bool_and(coalesce(conf_count % 3 = 0, true)) AS multiples, bool_and(coalesce(conf_count % {_GRADE.format(x='conf_count')} = 0, true)) AS graded,
+NOT bool_or((coalesce(raw_count < 6, true)) AND conf_count IS NOT NULL) AS suppressed, NOT bool_or((coalesce(raw_count < 20, true)) AND conf_sum IS NOT NULL) AS sums_suppressed,
+(SELECT bool_and(n = v1 * v2) FROM (SELECT count(*) AS n, count(DISTINCT coalesce(val01, '')) AS v1, count(DISTINCT coalesce(val02, '')) AS v2, bool_or(conf_count IS NULL) AS hidden
+  FROM c GROUP BY col01, col02, summarised_var) WHERE hidden) AS no_zero_counts FROM c"""
+)
+def chk_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    df = confidentialised(spark, folder)
+    return one_row(
+        spark,
+        multiples=disclosure.check_rounding_to_base_df(df, "conf_count"),
+        graded=disclosure.check_graduated_rounding_df(df, "conf_count"),
+        suppressed=disclosure.check_small_count_suppression(df, "conf_count", 6, "raw_count"),
+        sums_suppressed=disclosure.check_small_count_suppression(df, "conf_sum", 20, "raw_count"),
+        no_zero_counts=disclosure.check_absence_of_zero_counts(df, "conf_count"),
+    )
+
+
+@query(f"""WITH {_CONF}, k AS (SELECT conf_count - raw_count AS d FROM c) SELECT d AS difference, count(*) AS n FROM k WHERE d IS NOT NULL AND d <> 0 GROUP BY 1""")
+def rounding_differences(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.rounding_differences(confidentialised(spark, folder), "raw_count", "conf_count")
+
+
 @query()
 def release_report(spark: SparkSession, folder: str) -> DataFrame:
     lines = disclosure.check_confidentialised_results(expanded_zero_counts(spark, folder))
