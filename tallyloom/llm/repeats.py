@@ -201,8 +201,9 @@ def _distance() -> Column:
 
 
 def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame:
-    """id_col, by, share, distance, rejected: each document's squared robust distance from its group, in units in which
-    the group's median is that of a chi-square variable, and whether it is beyond that variable's 97.5 percent point.
+    """id_col, by, share, distance, rejected, above: each document's squared robust distance from its group, in units in
+    which the group's median is that of a chi-square variable, whether it is beyond that variable's 97.5 percent point, and
+    whether more of its words are repeated than at the group's centre: documents rejected and above repeat themselves.
 
     Groups are the combinations of by, NULL being a value; those of fewer than LEAST rows are estimated together. Rows
     without words belong to their group like others. All rows enter every estimate.
@@ -241,4 +242,4 @@ def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame
     far = grouped.join(small(fit), "grp").withColumn("d", _distance())
     middle = far.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-9)).alias("middle"))
     out = far.join(small(middle), "grp").withColumn("distance", F.col("d") * CHI_MEDIAN / F.col("middle"))
-    return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"))
+    return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"), (F.col("x0") > F.col("m0")).alias("above"))

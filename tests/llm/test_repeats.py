@@ -70,7 +70,7 @@ def test_outliers_are_found_per_group(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     out = {x["doc_id"]: x for x in r.outliers(r.repetition(df, "doc_id", "text", ("lang", "source")), "doc_id", ("lang", "source")).collect()}
     assert len(out) == len(rows)
-    assert all(out[i]["rejected"] for i in planted)
+    assert all(out[i]["rejected"] and out[i]["above"] for i in planted)
     rest = [x for i, x in out.items() if i not in planted and i < 1000]
     assert np.mean([x["rejected"] for x in rest]) < 0.12
     assert all(x["distance"] >= 0 for x in out.values())
