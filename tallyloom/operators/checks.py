@@ -143,17 +143,21 @@ def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str
     years = starts.groupBy(*keys, "y").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     before = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
     over = over.unionByName(kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= s"), "overlap"))
-    a, b = whole.alias("a"), whole.where("e < s").alias("b")
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    cond += [F.col("a.s") <= F.col("b.e"), F.col("b.s") <= F.col("a.e"), F.col("a.s") != F.col("b.s"), F.col("a.e") != F.col("b.e")]
-    inverted = kind(a.join(b, cond), "overlap")
+    # a spell that ends before it starts clashes with those that hold both its days, and never with its like: the furthest
+    # end of the spells begun by its own end has to reach its start
+    asked = whole.where("e < s").groupBy(*keys, F.year("e").alias("y"), F.col("e").alias("at")).agg(F.min("s").alias("need"))
+    both = starts.withColumnRenamed("s", "at").unionByName(asked, allowMissingColumns=True)
+    begun = Window.partitionBy(*keys, "y").orderBy("at", F.col("need").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inverted = kind(both.withColumn("reach", F.max("e").over(begun)).where("reach >= need"), "overlap")
+    years = both.groupBy(*keys, "y").agg(F.max("e").alias("e"), F.min("need").alias("need"))
+    inverted = inverted.unionByName(kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= need"), "overlap"))
     return equal[0].unionByName(equal[1]).unionByName(over).unionByName(inverted)
 
 
 def check_no_date_overlap(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> bool:
     """Whether no two spells of a group share a start, an end, or a day; both end days count.
 
-    NULLs are equal when starts and ends are compared, and overlap nothing. The spells are swept once in order of their
-    start; only spells that end before they start, which a sweep cannot place, are compared with the others one by one.
+    NULLs are equal when starts and ends are compared, and overlap nothing. The spells are swept in order of their start,
+    and no pairs of them are formed, also where a spell ends before it starts.
     """
     return date_overlaps(df, start, end, group_by).isEmpty()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import label_uniform, quoted
 from tallyloom.operators.summarise import has_long_thin_format
+from tallyloom.session import write_shared
 
 #: Bases of graduated rounding: (from, up to but without, base) of the absolute value (fixed values).
 GRADES = [(0, 19, 3), (19, 20, 2), (20, 100, 5), (100, 1000, 10), (1000, None, 100)]
@@ -101,7 +102,7 @@ def confidentialise_results(df: DataFrame, stable_rr: bool = False, sum_rr: bool
     out = apply_random_rounding(df, counts + (["sum"] if has_sum and sum_rr else []), base, labels if stable_rr else None)
     raw, conf = [f"raw_{c}" for c in counts], [f"conf_{c}" for c in counts]
     if not stable_rr:  # one draw, used below several times
-        out = out.checkpoint() if out.sparkSession.conf.get("spark.checkpoint.dir", None) else _fixed(out)
+        out = write_shared(out, "rounded")
     out = apply_small_count_suppression(out, conf, count_threshold, raw)
     if has_sum:
         if not sum_rr:
@@ -112,9 +113,3 @@ def confidentialise_results(df: DataFrame, stable_rr: bool = False, sum_rr: bool
             under = (quoted(r) >= sum_threshold) & (quoted(c) < sum_threshold)
             out = out.withColumn(c, F.when(over, quoted(c) - base).when(under, quoted(c) + base).otherwise(quoted(c)))
     return out
-
-
-def _fixed(df: DataFrame) -> DataFrame:
-    from tallyloom.session import write_shared
-
-    return write_shared(df, "rounded")

@@ -7,7 +7,7 @@ import html
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,11 @@ def profile_columns(df: DataFrame, top: int = 5) -> list[dict]:
     row = df.agg(*aggs).first().asDict()
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), quoted(n).cast("string").alias("v")) for i, n in enumerate(df.columns)]))
     counts = df.select(pairs.alias("p")).select("p.i", "p.v").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "v"))), 1, top).alias("t")) if top else None
-    if best is not None:  # top values of partitions first, so that no group of values is gathered whole
-        part = counts.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(512)))
-        w = part.groupBy("i", "part").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "v"))), 1, top).alias("t"))
-        best = w.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("t"))), 1, top).alias("t"))
-    tops = {r["i"]: [(x["v"], -x["k"]) for x in r["t"]] for r in best.collect()} if best is not None else {}
+    first = Window.partitionBy("i").orderBy(F.desc("n"), "v")  # the limit is applied before the shuffle as well
+    best = counts.withColumn("no", F.row_number().over(first)).where(F.col("no") <= top).collect()
+    tops: dict[int, list[tuple[str, int]]] = {}
+    for r in sorted(best, key=lambda r: r["no"]):
+        tops.setdefault(r["i"], []).append((r["v"], r["n"]))
     return [
         {
             "column": f.name,
