@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,8 +127,8 @@ def assert_join_covered(a: DataFrame, b: DataFrame, on: dict[str, str] | list[st
     return n
 
 
-def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> DataFrame:
-    """A row per kind of clash found in the spells of each group: equal starts, equal ends, or overlapping spells."""
+def _clashes(df: DataFrame, start: str, end: str, group_by: list[str] | str) -> list[DataFrame]:
+    """The steps of looking for clashes, the cheapest first."""
     group_by = _columns(df, group_by)
     _columns(df, [start, end])
     s = df.select(*[quoted(g).alias(f"g{i}") for i, g in enumerate(group_by)], quoted(start).alias("s"), quoted(end).alias("e"))
@@ -142,7 +143,7 @@ def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str
     over = kind(starts.withColumn("reach", F.max("e").over(before)).where("reach >= s"), "overlap")
     years = starts.groupBy(*keys, "y").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     before = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    over = over.unionByName(kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= s"), "overlap"))
+    over = [over, kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= s"), "overlap")]
     # a spell that ends before it starts clashes with those that hold both its days, and never with its like: the furthest
     # end of the spells begun by its own end has to reach its start
     asked = whole.where("e < s").groupBy(*keys, F.year("e").alias("y"), F.col("e").alias("at")).agg(F.min("s").alias("need"))
@@ -150,14 +151,19 @@ def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str
     begun = Window.partitionBy(*keys, "y").orderBy("at", F.col("need").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     inverted = kind(both.withColumn("reach", F.max("e").over(begun)).where("reach >= need"), "overlap")
     years = both.groupBy(*keys, "y").agg(F.max("e").alias("e"), F.min("need").alias("need"))
-    inverted = inverted.unionByName(kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= need"), "overlap"))
-    return equal[0].unionByName(equal[1]).unionByName(over).unionByName(inverted)
+    inverted = [inverted, kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= need"), "overlap")]
+    return [*equal, *over, *inverted]
+
+
+def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> DataFrame:
+    """A row per kind of clash found in the spells of each group: equal starts, equal ends, or overlapping spells."""
+    return reduce(DataFrame.unionByName, _clashes(df, start, end, group_by))
 
 
 def check_no_date_overlap(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> bool:
     """Whether no two spells of a group share a start, an end, or a day; both end days count.
 
     NULLs are equal when starts and ends are compared, and overlap nothing. The spells are swept in order of their start,
-    and no pairs of them are formed, also where a spell ends before it starts.
+    and no pairs of them are formed, also where a spell ends before it starts. The first clash found ends the search.
     """
-    return date_overlaps(df, start, end, group_by).isEmpty()
+    return all(c.isEmpty() for c in _clashes(df, start, end, group_by))
