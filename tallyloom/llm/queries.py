@@ -15,27 +15,33 @@ RATE, CAPACITY = 0.1, 4096
 REPEATED = (2, 5)
 
 
-def _measures(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "output_long_thin").select(folded(F.col("label_measure")).alias("label_key"), "value_measure", "loaded_at")
+def _known(spark: SparkSession, folder: str, wanted: list[float]) -> DataFrame:
+    """Percentiles by folded label: sketches are made by label as written, and put together where the letters agree, so that
+    a label is folded once per sketch and not once per row."""
+    rows = table(spark, folder, "output_long_thin")
+    parts = sketch.partial_sketches(rows, "label_measure", "value_measure").withColumn("key", folded(F.col("key"))).where("key is not null")
+    return sketch.percentiles(sketch.merge_sketches(parts, max(1, rows.rdd.getNumPartitions())), wanted)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     limits = table(spark, folder, "measure_limits").withColumn("key", folded(F.col("label_measure")))
-    known = sketch.group_percentiles(_measures(spark, folder), "label_key", "value_measure", [float(p) for p in range(1, 100)])
+    known = _known(spark, folder, [float(p) for p in range(1, 100)])
     both = limits.join(known.withColumn("pct", F.col("pct").cast("int")), ["key", "pct"])
     return both.where("value < low_value or value > high_value").select("label_measure", "pct")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return sketch.group_percentiles(_measures(spark, folder), "label_key", "value_measure", WANTED)
+    return _known(spark, folder, WANTED)
 
 
 def p1_from_days(spark: SparkSession, folder: str) -> DataFrame:
     """The same from sketches made of every day's rows apart and then put together."""
-    days = _measures(spark, folder).where("label_key is not null")
-    keyed = days.withColumn("day_key", F.concat_ws("|", F.coalesce(F.date_format("loaded_at", "yyyy-MM-dd"), F.lit("")), "label_key"))
+    day = F.coalesce(F.date_format("loaded_at", "yyyy-MM-dd"), F.lit(""))
+    keyed = table(spark, folder, "output_long_thin").select(F.concat(day, F.lit("|"), "label_measure").alias("day_key"), "value_measure")
     parts = max(1, keyed.rdd.getNumPartitions())
-    daily = sketch.merge_sketches(sketch.partial_sketches(keyed, "day_key", "value_measure"), parts)
+    split = F.split("key", r"\|", 2)
+    made = sketch.partial_sketches(keyed, "day_key", "value_measure").withColumn("key", F.concat(split[0], F.lit("|"), folded(split[1])))
+    daily = sketch.merge_sketches(made.where("key is not null"), parts)
     day = F.substring_index("key", "|", 1)
     number = F.coalesce(F.datediff(F.try_to_date(day), F.lit("1970-01-01").cast("date")), F.lit(0))
     again = daily.select(F.substring_index("key", "|", -1).alias("key"), F.pmod(number, F.lit(4096)).cast("bigint").alias("part"), "level", "err", "items")
