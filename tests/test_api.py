@@ -40,3 +40,11 @@ def test_scratch_tables_can_be_dropped(spark):
     drop_shared(df)
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_folded_labels(spark):
+    from tallyloom.functions import folded
+
+    cases = {'"Cause" = A-1': "causea1", "": None, " ._": None, "é2\u212a": "2", "a\x00B\x7f\n": "ab", "Ünï C9": "nc9", None: None}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "s string, w string")
+    assert [(r["k"], r["w"]) for r in df.select(folded(F.col("s")).alias("k"), "w").collect() if r["k"] != r["w"]] == []
