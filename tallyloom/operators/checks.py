@@ -128,7 +128,7 @@ def assert_join_covered(a: DataFrame, b: DataFrame, on: dict[str, str] | list[st
 
 
 def _clashes(df: DataFrame, start: str, end: str, group_by: list[str] | str) -> list[DataFrame]:
-    """The steps of looking for clashes, the cheapest first."""
+    """Two steps of looking for clashes, the cheaper first; the parts of a step share their shuffles."""
     group_by = _columns(df, group_by)
     _columns(df, [start, end])
     s = df.select(*[quoted(g).alias(f"g{i}") for i, g in enumerate(group_by)], quoted(start).alias("s"), quoted(end).alias("e"))
@@ -152,7 +152,7 @@ def _clashes(df: DataFrame, start: str, end: str, group_by: list[str] | str) ->
     inverted = kind(both.withColumn("reach", F.max("e").over(begun)).where("reach >= need"), "overlap")
     years = both.groupBy(*keys, "y").agg(F.max("e").alias("e"), F.min("need").alias("need"))
     inverted = [inverted, kind(years.withColumn("reach", F.max("e").over(before)).where("reach >= need"), "overlap")]
-    return [*equal, *over, *inverted]
+    return [reduce(DataFrame.unionByName, x) for x in (equal, [*over, *inverted])]
 
 
 def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> DataFrame:
@@ -164,6 +164,6 @@ def check_no_date_overlap(df: DataFrame, start: str, end: str, group_by: list[st
     """Whether no two spells of a group share a start, an end, or a day; both end days count.
 
     NULLs are equal when starts and ends are compared, and overlap nothing. The spells are swept in order of their start,
-    and no pairs of them are formed, also where a spell ends before it starts. The first clash found ends the search.
+    and no pairs of them are formed, also where a spell ends before it starts. Clashes found in the first step end the search.
     """
     return all(c.isEmpty() for c in _clashes(df, start, end, group_by))
