@@ -2,8 +2,8 @@
 
 repetition() measures whole texts with numpy, a batch at a time. outliers() estimates, per language and source, the
 centre and shape of the transformed measures by minimum covariance determinant: concentration steps that keep the rows
-nearest the centre and estimate again, on all rows, as grouped aggregations. Documents far from their group's centre by
-Mahalanobis distance are rejected.
+nearest half of the rows and estimate again, on all rows, as grouped aggregations; a last estimate is made of all rows
+within the cut-off. Documents far from their group's centre by Mahalanobis distance are rejected.
 
 Scale: texts are never shuffled; each task leaves one row of six numbers per document. A concentration step aggregates
 map-side to one row per group, so a group may hold any share of the rows.
@@ -153,8 +153,9 @@ X = ["x0", "x1", "x2", "x3"]
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
 #: Chi-square with 4 degrees of freedom: median and 97.5 percent point (fixed values).
 CHI_MEDIAN, CHI_FAR = 3.3567, 11.1433
-#: Groups of fewer rows share one pooled estimate; share of rows a step keeps; number of steps; ridge, in units of the scale.
-LEAST, KEPT, STEPS, RIDGE = 50, 0.75, 3, 0.05
+#: Groups of fewer rows share one pooled estimate; share of rows a step keeps, the least there is, so that nearly half of a
+#: group may be out of line; number of steps; ridge, in units of the scale.
+LEAST, KEPT, STEPS, RIDGE = 50, 0.5, 3, 0.05
 #: A group's parameters take about 200 bytes; up to so many groups they are broadcast, beyond it joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -239,7 +240,12 @@ def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame
         far = grouped.join(small(fit), "grp").withColumn("d", _distance())
         limit = far.groupBy("grp").agg(F.percentile_approx("d", KEPT, 1000).alias("limit"))
         fit = summed(far.join(small(limit), "grp").where("d <= limit"), keep_scales)
-    far = grouped.join(small(fit), "grp").withColumn("d", _distance())
-    middle = far.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-9)).alias("middle"))
-    out = far.join(small(middle), "grp").withColumn("distance", F.col("d") * CHI_MEDIAN / F.col("middle"))
+
+    def scaled(fit: DataFrame) -> DataFrame:
+        far = grouped.join(small(fit), "grp").withColumn("d", _distance())
+        middle = far.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-9)).alias("middle"))
+        return far.join(small(middle), "grp").withColumn("distance", F.col("d") * CHI_MEDIAN / F.col("middle"))
+
+    fit = summed(scaled(fit).where(F.col("distance") <= CHI_FAR), keep_scales)  # half of the rows decide who counts; all that count are estimated from
+    out = scaled(fit)
     return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"), (F.col("x0") > F.col("m0")).alias("above"))

@@ -76,6 +76,22 @@ def test_outliers_are_found_per_group(spark):
     assert all(x["distance"] >= 0 for x in out.values())
 
 
+def test_a_third_of_a_group_may_be_repetitive(spark):
+    rng = random.Random(11)
+    rows, planted = [], set()
+    for i in range(300):
+        text = " ".join(rng.choice([f"w{k}" for k in range(3000)]) for _ in range(rng.randrange(80, 160)))
+        if i % 3 == 0:
+            some = " ".join(rng.choice([f"w{k}" for k in range(3000)]) for _ in range(rng.randrange(5, 30)))
+            text = (" ".join(f"s{rng.randrange(50)}" for _ in range(rng.randrange(5, 9))) + "\n") * rng.randrange(8, 30) + some
+            planted.add(i)
+        rows.append((i, text, "en", "s", "w", "s", "x"))
+    m = r.repetition(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", ("lang", "source"))
+    out = {x["doc_id"]: x for x in r.outliers(m, "doc_id", ("lang", "source")).collect()}
+    assert all(out[i]["rejected"] and out[i]["above"] for i in planted)
+    assert np.mean([x["rejected"] for i, x in out.items() if i not in planted]) < 0.12
+
+
 def test_outliers_of_nothing_and_of_equal_rows(spark):
     df = spark.createDataFrame([(i, "same words here", None, None, "w", "s", "x") for i in range(80)], SCHEMA)
     m = r.repetition(df, "doc_id", "text", ("lang", "source"))
