@@ -1,12 +1,15 @@
 """Repetition inside single documents, and documents whose repetition is out of line for their language and source.
 
 repetition() measures whole texts with numpy, a batch at a time. outliers() estimates, per language and source, the
-centre and shape of the transformed measures by minimum covariance determinant: concentration steps that keep the rows
-nearest half of the rows and estimate again, on all rows, as grouped aggregations; a last estimate is made of all rows
-within the cut-off. Documents far from their group's centre by Mahalanobis distance are rejected.
-
-Scale: texts are never shuffled; each task leaves one row of six numbers per document. A concentration step aggregates
-map-side to one row per group, so a group may hold any share of the rows.
+centre and shape of the transformed measures by minimum covariance determinant: from several fixed starts, concentration
+steps that keep the nearest half of the rows and estimate again until the determinant stops falling; the start with the
+least determinant counts, and a last estimate is made of all rows within the cut-off. All rows enter. Documents far from
+their group's centre by Mahalanobis distance are rejected. Other starts may reach a lower determinant still: where nearly
+half of a group has no repetition at all, the lowest one takes that half for out of line.
+
+Scale: texts are never shuffled; each task leaves one row of six numbers per document. A group of up to GATHERED rows of
+four numbers is estimated in one task; a step of a larger one aggregates map-side to one row per group and start, so a
+group may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -153,9 +156,12 @@ X = ["x0", "x1", "x2", "x3"]
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
 #: Chi-square with 4 degrees of freedom: median and 97.5 percent point (fixed values).
 CHI_MEDIAN, CHI_FAR = 3.3567, 11.1433
-#: Groups of fewer rows share one pooled estimate; share of rows a step keeps, the least there is, so that nearly half of a
-#: group may be out of line; number of steps; ridge, in units of the scale.
-LEAST, KEPT, STEPS, RIDGE = 50, 0.5, 3, 0.05
+#: Groups of fewer rows share one pooled estimate; ridge, in units of the scale.
+LEAST, RIDGE = 50, 0.05
+#: Groups of up to so many rows are estimated in one task each (7 MB), larger ones by aggregations over all tasks.
+GATHERED = 200_000
+#: Concentration ends when the logarithm of the determinant falls by no more.
+FALL = 1e-9
 #: A group's parameters take about 200 bytes; up to so many groups they are broadcast, beyond it joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -176,21 +182,114 @@ def vectors() -> list[Column]:
     ]
 
 
-def _shape(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean and inverse covariance of each group from its sums, with a ridge so that equal columns don't make it singular."""
-    rows = []
-    for r in pdf.to_dict("records"):
-        n, mean = r["n"], np.array([r[f"s{i}"] for i in range(len(X))]) / r["n"]
-        cov = np.zeros((len(X), len(X)))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / n - mean[i] * mean[j]
-        cov += np.diag(RIDGE * np.array([r[f"scale{i}"] for i in range(len(X))]) ** 2)
-        inv = np.linalg.inv(cov)
-        rows.append([r["grp"], *[r[f"scale{i}"] for i in range(len(X))], *mean, *[inv[i, j] for i, j in PAIRS]])
-    return pd.DataFrame(rows, columns=["grp", *[f"scale{i}" for i in range(len(X))], *[f"m{i}" for i in range(len(X))], *[f"v{i}{j}" for i, j in PAIRS]])
+Fit = tuple[np.ndarray, np.ndarray, float]
+
+
+def _fit(n: float, sums: np.ndarray, squares: np.ndarray, scale: np.ndarray) -> Fit:
+    """Mean, inverse covariance and log determinant, with a ridge so that equal columns don't make the covariance singular."""
+    mean = sums / n
+    cov = squares / n - np.outer(mean, mean) + np.diag(RIDGE * scale**2)
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def _starts(quart: np.ndarray, scale: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and inverse shapes to begin with: the medians, or these with the lower or upper quartile of one measure, with
+    the plain spreads."""
+    centres = [quart[1]]
+    for i in range(len(X)):
+        for q in (0, 2):
+            centres.append(quart[1].copy())
+            centres[-1][i] = quart[q, i]
+    return [(c, np.diag(scale**-2.0)) for c in centres]
+
+
+def _scale(quart: np.ndarray) -> np.ndarray:
+    return np.maximum((quart[2] - quart[0]) / 1.349, 0.1)
+
+
+def _far(x: np.ndarray, centre: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    d = x - centre
+    return ((d @ inv) * d).sum(axis=1)
+
 
+def robust(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, inverse covariance and median squared distance of the rows of x: from each start concentration steps on the
+    (n + p + 1) / 2 nearest rows until the determinant stops falling, the least determinant of all starts, and an estimate
+    of all rows that are then within the cut-off. Rows at the same distance are taken together, so their order is no matter."""
+    x = x[np.lexsort(x.T)]
+    h = min(len(x), (len(x) + len(X) + 1) // 2)
+    quart = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    scale = _scale(quart)
+    of = lambda rows: _fit(len(rows), rows.sum(axis=0), rows.T @ rows, scale)
+    best: Fit | None = None
+    for centre, inv in _starts(quart, scale):
+        last = np.inf
+        while True:
+            d = _far(x, centre, inv)
+            new = of(x[d <= np.partition(d, h - 1)[h - 1]])
+            if not new[2] < last - FALL:
+                break
+            centre, inv, last = new
+            best = new if best is None or last < best[2] else best
+    middle = lambda d: max(1e-9, float(np.quantile(d, 0.5, method="inverted_cdf")))
+    d = _far(x, *best[:2])
+    centre, inv, _ = of(x[d * CHI_MEDIAN / middle(d) <= CHI_FAR])
+    return centre, inv, middle(_far(x, centre, inv))
 
-_SHAPE = "grp string, " + ", ".join([f"scale{i} double" for i in range(len(X))] + [f"m{i} double" for i in range(len(X))] + [f"v{i}{j} double" for i, j in PAIRS])
+
+_SHAPE = "grp string, start int, " + ", ".join([f"m{i} double" for i in range(len(X))] + [f"v{i}{j} double" for i, j in PAIRS]) + ", middle double"
+
+
+def _shape_row(grp: str, start: int, centre: np.ndarray, inv: np.ndarray, middle: float) -> tuple:
+    return (grp, start, *[float(v) for v in centre], *[float(inv[i, j]) for i, j in PAIRS], float(middle))
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    names = [f.split()[0] for f in _SHAPE.split(", ")]
+    return pd.DataFrame([_shape_row(pdf["grp"].iloc[0], 0, *robust(pdf[X].to_numpy(float)))], columns=names)
+
+
+def _large(rows: DataFrame) -> list[tuple]:
+    """robust() of groups of any size: every step is two aggregations over the rows, for all groups and starts that still
+    fall; the driver holds the fits, one per start of a large group. Half of the rows is by quantile sketch, to one part in
+    10,000 of the rows."""
+    spark = rows.sparkSession
+
+    moments = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]]
+    moments += [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
+
+    def squares(r: Row) -> np.ndarray:
+        m = np.zeros((len(X), len(X)))
+        for i, j in PAIRS:
+            m[i, j] = m[j, i] = r[f"q{i}{j}"]
+        return m
+
+    def distances(fits: dict[tuple[str, int], tuple]) -> DataFrame:
+        shapes = spark.createDataFrame([_shape_row(*k, *f[:2], 0.0) for k, f in fits.items()], _SHAPE)
+        return rows.join(F.broadcast(shapes), "grp").withColumn("d", _distance())
+
+    def middles(far: DataFrame) -> DataFrame:
+        return far.groupBy("grp", "start").agg(F.percentile_approx("d", 0.5, 10_000).alias("half"))
+
+    def refit(fits: dict[tuple[str, int], tuple], factor: float) -> dict[tuple[str, int], Fit]:
+        """The estimates of the rows no farther than factor times the median distance."""
+        far = distances(fits)
+        near = far.join(F.broadcast(middles(far)), ["grp", "start"]).where(F.col("d") <= F.greatest("half", F.lit(1e-9 if factor > 1 else 0.0)) * factor)
+        sums = near.groupBy("grp", "start").agg(*moments).collect()
+        return {(r["grp"], r["start"]): _fit(r["n"], np.array([r[f"s{i}"] for i in range(len(X))]), squares(r), scales[r["grp"]]) for r in sums}
+
+    quarts = rows.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"p{i}") for i, x in enumerate(X)]).collect()
+    quart = {r["grp"]: np.array([r[f"p{i}"] for i in range(len(X))]).T for r in quarts}
+    scales = {g: _scale(q) for g, q in quart.items()}
+    falling = {(g, k): (*s, np.inf) for g, q in quart.items() for k, s in enumerate(_starts(q, scales[g]))}
+    best: dict[tuple[str, int], Fit] = {}
+    while falling:
+        falling = {k: new for k, new in refit(falling, 1.0).items() if new[2] < falling[k][2] - FALL}
+        for (g, _), new in falling.items():
+            if (g, 0) not in best or new[2] < best[g, 0][2]:
+                best[g, 0] = new
+    best = refit(best, CHI_FAR / CHI_MEDIAN)
+    return [_shape_row(r["grp"], 0, *best[r["grp"], 0][:2], max(1e-9, r["half"])) for r in middles(distances(best)).collect()]
 
 
 def _distance() -> Column:
@@ -219,33 +318,13 @@ def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame
     small = F.broadcast if few else (lambda t: t)
     grouped = rows.join(small(sizes), "own").withColumn("grp", F.when(F.col("rows") < LEAST, F.lit("\x1d")).otherwise(F.col("own")))
 
-    def summed(near: DataFrame, scales: list[Column]) -> DataFrame:
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]]
-        sums += [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-        fit = near.groupBy("grp").agg(*sums, *scales).mapInPandas(lambda it: (_shape(p) for p in it if len(p)), _SHAPE)
-        return write_shared(fit, "shape")
-
-    # start: coordinate-wise medians and spreads, then the nearest rows
-    quart = grouped.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, x in enumerate(X)])
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(0.1)) for i in range(len(X))]
-    fit = quart.select(
-        "grp",
-        *[spread[i].alias(f"scale{i}") for i in range(len(X))],
-        *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(len(X))],
-        *[(1 / spread[i] ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS],
-    )
+    ask = grouped.select("grp", *X)
+    counts = ask.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    large = [r["grp"] for r in counts.where(F.col("n") > GATHERED).collect()]
+    named = F.broadcast(spark.createDataFrame([(g,) for g in large], "grp string"))
+    fit = (ask.join(named, "grp", "left_anti") if large else ask).groupBy("grp").applyInPandas(_gathered, _SHAPE)
+    if large:
+        fit = fit.unionByName(spark.createDataFrame(_large(ask.join(named, "grp")), _SHAPE))
     fit = write_shared(fit, "shape")
-    keep_scales = [F.first(f"scale{i}").alias(f"scale{i}") for i in range(len(X))]
-    for _ in range(STEPS):
-        far = grouped.join(small(fit), "grp").withColumn("d", _distance())
-        limit = far.groupBy("grp").agg(F.percentile_approx("d", KEPT, 1000).alias("limit"))
-        fit = summed(far.join(small(limit), "grp").where("d <= limit"), keep_scales)
-
-    def scaled(fit: DataFrame) -> DataFrame:
-        far = grouped.join(small(fit), "grp").withColumn("d", _distance())
-        middle = far.groupBy("grp").agg(F.greatest(F.percentile_approx("d", 0.5, 1000), F.lit(1e-9)).alias("middle"))
-        return far.join(small(middle), "grp").withColumn("distance", F.col("d") * CHI_MEDIAN / F.col("middle"))
-
-    fit = summed(scaled(fit).where(F.col("distance") <= CHI_FAR), keep_scales)  # half of the rows decide who counts; all that count are estimated from
-    out = scaled(fit)
+    out = grouped.join(small(fit), "grp").withColumn("distance", _distance() * CHI_MEDIAN / F.col("middle"))
     return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"), (F.col("x0") > F.col("m0")).alias("above"))
