@@ -156,7 +156,7 @@ X = ["x0", "x1", "x2", "x3"]
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
 #: Chi-square with 4 degrees of freedom: median and 97.5 percent point (fixed values).
 CHI_MEDIAN, CHI_FAR = 3.3567, 11.1433
-#: Groups of fewer rows share one pooled estimate; ridge, in units of the scale.
+#: Groups of fewer rows have no estimate of their own; ridge, in units of the scale.
 LEAST, RIDGE = 50, 0.05
 #: Groups of up to so many rows are estimated in one task each (7 MB), larger ones by aggregations over all tasks.
 GATHERED = 200_000
@@ -301,25 +301,38 @@ def _distance() -> Column:
 
 
 def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame:
-    """id_col, by, share, distance, rejected, above: each document's squared robust distance from its group, in units in
-    which the group's median is that of a chi-square variable, whether it is beyond that variable's 97.5 percent point, and
+    """id_col, by, share, distance, rejected, above, level: each document's squared robust distance from its group, in units
+    in which the group's median is that of a chi-square variable, whether it is beyond that variable's 97.5 percent point, and
     whether more of its words are repeated than at the group's centre: documents rejected and above repeat themselves.
 
-    Groups are the combinations of by, NULL being a value; those of fewer than LEAST rows are estimated together. Rows
-    without words belong to their group like others. All rows enter every estimate.
+    Groups are the combinations of by, NULL being a value. A document of a group of fewer than LEAST rows is judged by the
+    first of these that has as many: all rows with its first value of by, with its second, and so on; else by all rows. level
+    names what judged it: the columns of by with commas, one of them, or 'all'. Rows without words belong to their group like
+    others. All rows enter every estimate.
     """
     spark = measures.sparkSession
     ship(spark)
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(b).cast("string"), F.lit("\x1e")) for b in by])
-    rows = measures.select(F.col(id_col).alias("id"), *by, "share", *vectors(), key.alias("own"))
+    levels = [tuple(by), *[(b,) for b in by if len(by) > 1], ()]
+
+    def key(k: int) -> Column:
+        return F.concat_ws("\x1f", F.lit(str(k)), *[F.coalesce(F.col(b).cast("string"), F.lit("\x1e")) for b in levels[k]])
+
+    keys = [f"key{k}" for k in range(len(levels))]
+    rows = measures.select(F.col(id_col).alias("id"), *by, "share", *vectors(), *[key(k).alias(c) for k, c in enumerate(keys)])
     rows = write_shared(rows, "measures")
-    sizes = rows.groupBy("own").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n0"))
     few = sizes.count() <= BROADCAST_GROUPS
     small = F.broadcast if few else (lambda t: t)
-    grouped = rows.join(small(sizes), "own").withColumn("grp", F.when(F.col("rows") < LEAST, F.lit("\x1d")).otherwise(F.col("own")))
-
-    ask = grouped.select("grp", *X)
-    counts = ask.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    judges = sizes
+    for k, c in enumerate(keys[1:], 1):
+        judges = judges.join(small(sizes.groupBy(c).agg(F.sum("n0").alias(f"n{k}"))), c)
+    first = [F.when(F.col(f"n{k}") >= LEAST, F.struct(F.col(c).alias("grp"), F.lit(",".join(levels[k]) or "all").alias("level"), F.col(f"n{k}").alias("n"))) for k, c in enumerate(keys)]
+    last = F.struct(F.col(keys[-1]).alias("grp"), F.lit("all").alias("level"), F.col(f"n{len(keys) - 1}").alias("n"))
+    judges = write_shared(judges.select("key0", F.coalesce(*first, last).alias("j")).select("key0", "j.*"), "judges")
+    grouped = rows.join(small(judges.drop("n")), "key0")
+
+    counts = judges.select("grp", "n").distinct()
+    ask = rows.select(F.explode(F.array(*keys)).alias("grp"), *X).join(small(counts.select("grp")), "grp", "left_semi")
     large = [r["grp"] for r in counts.where(F.col("n") > GATHERED).collect()]
     named = F.broadcast(spark.createDataFrame([(g,) for g in large], "grp string"))
     fit = (ask.join(named, "grp", "left_anti") if large else ask).groupBy("grp").applyInPandas(_gathered, _SHAPE)
@@ -327,4 +340,4 @@ def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame
         fit = fit.unionByName(spark.createDataFrame(_large(ask.join(named, "grp")), _SHAPE))
     fit = write_shared(fit, "shape")
     out = grouped.join(small(fit), "grp").withColumn("distance", _distance() * CHI_MEDIAN / F.col("middle"))
-    return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"), (F.col("x0") > F.col("m0")).alias("above"))
+    return out.select(F.col("id").alias(id_col), *by, "share", "distance", (F.col("distance") > CHI_FAR).alias("rejected"), (F.col("x0") > F.col("m0")).alias("above"), "level")

@@ -114,6 +114,19 @@ def test_the_least_determinant_is_sought(spark, monkeypatch, gathered):
     assert len(out) == 400 and rejected >= set(range(240, 400)) and len(rejected) < 170
 
 
+def test_small_groups_are_judged_by_what_is_nearest(spark):
+    by = [("en", "a")] * 120 + [("de", "a")] * 60 + [("de", "b")] * 20 + [("fr", "a")] * 20 + [("fr", "c")] * 20 + [(None, "c")] * 5
+    g = np.random.default_rng(3)
+    x = g.normal(size=(len(by), 4))
+    x[:120] += [0, 0, 4, 0]
+    out = {x["doc_id"]: x for x in r.outliers(measured(spark, x, by), "doc_id", ("lang", "source")).collect()}
+    want = {("en", "a"): "lang,source", ("de", "a"): "lang,source", ("de", "b"): "lang", ("fr", "a"): "source", ("fr", "c"): "all", (None, "c"): "all"}
+    assert len(out) == len(by) and all(out[i]["level"] == want[b] for i, b in enumerate(by))
+    for like, judged in ((range(120, 200), range(180, 200)), (range(len(by)), range(220, 245))):
+        centre, inv, middle = r.robust(x[list(like)])
+        assert np.allclose([out[i]["distance"] for i in judged], r._far(x[list(judged)], centre, inv) * r.CHI_MEDIAN / middle, rtol=0.01)
+
+
 def test_outliers_of_nothing_and_of_equal_rows(spark):
     df = spark.createDataFrame([(i, "same words here", None, None, "w", "s", "x") for i in range(80)], SCHEMA)
     m = r.repetition(df, "doc_id", "text", ("lang", "source"))
