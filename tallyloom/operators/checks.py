@@ -133,7 +133,7 @@ def _clashes(df: DataFrame, start: str, end: str, group_by: list[str] | str) ->
     _columns(df, [start, end])
     s = df.select(*[quoted(g).alias(f"g{i}") for i, g in enumerate(group_by)], quoted(start).alias("s"), quoted(end).alias("e"))
     keys = [f"g{i}" for i in range(len(group_by))]
-    kind = lambda d, k: d.select(F.lit(k).alias("clash"))
+    kind = lambda d, k: d.select(*keys, F.lit(k).alias("clash"))
     equal = [kind(_repeated(s, [*keys, c]), f"equal {'start' if c == 's' else 'end'}") for c in ("s", "e")]
     whole = s.dropna()
     # only a spell that begins on or before another's end clashes; with no inverted spell the furthest end so far decides:
@@ -157,7 +157,14 @@ def _clashes(df: DataFrame, start: str, end: str, group_by: list[str] | str) ->
 
 def date_overlaps(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> DataFrame:
     """A row per kind of clash found in the spells of each group: equal starts, equal ends, or overlapping spells."""
-    return reduce(DataFrame.unionByName, _clashes(df, start, end, group_by))
+    return reduce(DataFrame.unionByName, _clashes(df, start, end, group_by)).select("clash")
+
+
+def clashing_groups(df: DataFrame, start: str, end: str, group_by: list[str] | str) -> DataFrame:
+    """group_by, clash: each group with each kind of clash found in its spells, once. Two spells
+    that start on the same day are an equal start and no overlap; as in date_overlaps(), spells with a NULL overlap nothing."""
+    found = reduce(DataFrame.unionByName, _clashes(df, start, end, group_by)).distinct()
+    return found.select(*[F.col(f"g{i}").alias(g) for i, g in enumerate(_columns(df, group_by))], "clash")
 
 
 def check_no_date_overlap(df: DataFrame, start: str, end: str, group_by: list[str] | str = ()) -> bool:

@@ -302,6 +302,17 @@ def chk_date_overlap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH s AS (SELECT snz_uid, benefit_start_date AS s, benefit_end_date AS e FROM data_benefit_payment)
+SELECT snz_uid, 'equal start' AS clash FROM s GROUP BY snz_uid, s HAVING count(*) > 1
+UNION SELECT snz_uid, 'equal end' FROM s GROUP BY snz_uid, e HAVING count(*) > 1
+UNION SELECT a.snz_uid, 'overlap' FROM s a JOIN s b ON a.snz_uid = b.snz_uid AND a.s <= b.e AND b.s <= a.e AND a.s <> b.s"""
+)
+def chk_clashing_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole sweep decides here: overlaps and inverted spells of every person."""
+    return checks.clashing_groups(table(spark, folder, BENEFITS), "benefit_start_date", "benefit_end_date", "snz_uid")
+
+
 @query("SELECT * FROM orders WHERE o_orderkey % (SELECT CAST(ceil(count(*) / 500.0) AS BIGINT) FROM orders) = 0 ORDER BY o_orderkey LIMIT 500")
 def sample_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The limit is the operator's own."""

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from tallyloom.operators import checks as k
 
 D = dt.date
@@ -100,3 +101,15 @@ def test_date_overlap_groups(spark):
     touching = spark.createDataFrame([(1, D(2019, 12, 1), D(2020, 1, 1)), (1, D(2020, 1, 1), D(2020, 2, 1))], "id int, s date, e date")
     assert not k.check_no_date_overlap(touching, "s", "e", "id")
     assert k.check_no_date_overlap(df.where("false"), "s", "e", "id")
+
+
+def test_clashing_groups(spark):
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(n)
+    spells = {"apart": [(0, 5), (6, 9)], "over": [(0, 5), (5, 9)], "years": [(0, 500), (400, 450)], "start": [(0, 5), (0, 7)], "inverted": [(0, 9), (6, 3)], "end": [(0, 5), (3, 5)]}
+    df = spark.createDataFrame([(g, day(a), day(b)) for g, x in spells.items() for a, b in x], "g string, s date, e date")
+    got = {tuple(x) for x in k.clashing_groups(df, "s", "e", "g").collect()}
+    assert got == {("over", "overlap"), ("years", "overlap"), ("start", "equal start"), ("inverted", "overlap"), ("end", "equal end"), ("end", "overlap")}
+
+
+def test_the_sweep_is_a_query():
+    assert "chk_clashing_groups" in entry.queries() and "chk_clashing_groups" in entry.oracle_sql()
