@@ -329,6 +329,21 @@ def profile_accidents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(r["column"], r["missing"], r["min"], r["max"]) for r in rows], "name string, missing bigint, low string, high string")
 
 
+def _profile_sql(column: str, number: bool) -> str:
+    top = f"""(SELECT string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) FROM (SELECT {column}::VARCHAR AS v, count(*) AS n FROM data_accidents
+  WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5))"""
+    return f"""SELECT '{column}' AS name, count(*) AS "rows", count(*) - count({column}) AS missing, count(DISTINCT {column}) AS "distinct",
+  min({column})::VARCHAR AS low, max({column})::VARCHAR AS high, {f'avg({column})' if number else 'NULL::DOUBLE'} AS mean, {top} AS top FROM data_accidents"""
+
+
+@query("\nUNION ALL\n".join(_profile_sql(c, c == "snz_uid") for c in ("snz_uid", "accident_date", "accident_cause")))
+def profile_accidents_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All figures of the report."""
+    rows = profile.profile_columns(table(spark, folder, ACCIDENTS).select("snz_uid", "accident_date", "accident_cause"))
+    cells = [(r["column"], r["rows"], r["missing"], r["distinct"], r["min"], r["max"], r["mean"], ", ".join(f"{v} ({n})" for v, n in r["top"])) for r in rows]
+    return spark.createDataFrame(cells, "name string, rows bigint, missing bigint, distinct bigint, low string, high string, mean double, top string")
+
+
 # Summaries
 
 ORDER_GROUPS = [["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"]]

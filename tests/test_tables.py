@@ -152,3 +152,8 @@ def test_samples_and_report(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert profile.profile_columns(df.where("false"))[0]["rows"] == 0
+
+
+def test_different_values_are_counted_exactly(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 7001).cast("string").alias("s"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"), F.lit(None).cast("int").alias("n"))
+    assert [r["distinct"] for r in profile.profile_columns(df)] == [30_000, 7001, 1, 0]
