@@ -63,7 +63,8 @@ def profile_columns(df: DataFrame, top: int = 5) -> list[dict]:
 
 
 def explore_report(df: DataFrame, id_column: str | None = None, target: str | None = None, output_file: str = "df explored", output_dir: str = ".", row_limit: int = 10_000) -> str:
-    """An HTML report on at most row_limit rows: a table of the columns and, with a target, the numbers' means by its values.
+    """An HTML report on at most row_limit rows: a table of the columns and, with a target, the numbers' means by its values,
+    all of them: at most as many as rows.
 
     Returns the file's name, '<time> <name>.html'.
     """
@@ -74,7 +75,7 @@ def explore_report(df: DataFrame, id_column: str | None = None, target: str | No
         if target is not None:
             numbers = [f.name for f in some.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != target]
             by = some.groupBy(quoted(target)).agg(F.count(F.lit(1)).alias("rows"), *[F.avg(quoted(c)).alias(f"mean {c}") for c in numbers])
-            parts += [f"<h2>By {html.escape(target)}</h2>", by.orderBy(F.desc("rows")).limit(100).toPandas().to_html(index=False)]
+            parts += [f"<h2>By {html.escape(target)}</h2>", by.orderBy(F.desc("rows"), quoted(target)).toPandas().to_html(index=False)]
     finally:
         some.unpersist()
     name = f"{dt.datetime.now():%Y-%m-%d %H%M%S} {output_file}.html"

@@ -157,3 +157,10 @@ def test_samples_and_report(spark, tmp_path):
 def test_different_values_are_counted_exactly(spark):
     df = spark.range(30_000).select("id", (F.col("id") % 7001).cast("string").alias("s"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"), F.lit(None).cast("int").alias("n"))
     assert [r["distinct"] for r in profile.profile_columns(df)] == [30_000, 7001, 1, 0]
+
+
+def test_report_has_all_target_values(spark, tmp_path):
+    df = spark.range(300).select("id", F.concat(F.lit("kind"), F.col("id") % 150).alias("k"))
+    name = profile.explore_report(df, target="k", output_dir=str(tmp_path))
+    by = (tmp_path / name).read_text().split("<h2>By k</h2>")[1]
+    assert all(f"<td>kind{i}</td>" in by for i in range(150))
