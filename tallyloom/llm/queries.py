@@ -60,6 +60,13 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_lost(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text does not come back from its token ids: none; NULL comes back as the empty text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = encode.decode_corpus(p6_ids(spark, folder), "doc_id", "ids").withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id", "left").where(~F.coalesce(F.col("text"), F.lit("")).eqNullSafe(F.col("decoded"))).select("doc_id")
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack_documents(table(spark, folder, "documents"), "doc_id", "text", CAPACITY)
 
@@ -86,7 +93,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_from_days, p4_sample, p4_rows, p6_ids, p7_found, p7_containers, p8_method, p8_found, p8_shares)
+    for f in (p1_found, p1_percentiles, p1_from_days, p4_sample, p4_rows, p6_ids, p6_lost, p7_found, p7_containers, p8_method, p8_found, p8_shares)
 }
 
 _SAMPLE = f"""
@@ -115,6 +122,7 @@ SELECT m.label_measure, m.pct FROM measure_limits m JOIN r ON {fold_sql('m.label
 WHERE x < low_value OR x > high_value""",
     "p4_sample": _SAMPLE + "SELECT snz_uid, seq FROM s",
     "p4_rows": _SAMPLE + "SELECT * FROM output_long_thin WHERE identity_column IN (SELECT snz_uid FROM s)",
+    "p6_lost": "SELECT doc_id FROM documents WHERE false",
     "p8_found": _WORDS + "SELECT t.doc_id FROM t JOIN r ON t.doc_id = r.doc_id WHERE repeated * 5 > len(w) * 2",
     "p8_shares": _WORDS
     + "SELECT t.doc_id, coalesce(len(w), 0) AS words, coalesce(repeated, 0) AS repeated FROM t LEFT JOIN r ON t.doc_id = r.doc_id",

@@ -74,3 +74,14 @@ def test_repeats_null_ids_other_ids_and_empty(spark):
     got = sorted((r["doc_id"] or "", len(r["ids"])) for r in e.encode_corpus(df, "doc_id", "text").collect())
     assert got == [("", 1), ("a", 2), ("a", 2), ("b", 0)]
     assert e.encode_corpus(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_documents_come_back(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    lost, folder = entry.queries()["p6_lost"], f"{entry.DATA}/sf0.001"
+    assert lost(spark, folder).count() == 0
+    real = e.decode_corpus
+    monkeypatch.setattr(e, "decode_corpus", lambda df, i, ids: real(df.where("doc_id % 2 = 0"), i, ids))
+    odd = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 2 <> 0").count()
+    assert lost(spark, folder).count() == odd > 0
