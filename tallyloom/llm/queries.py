@@ -53,7 +53,41 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return sample.rows_of_sample(table(spark, folder, "output_long_thin"), "identity_column", p4_sample(spark, folder), "snz_uid")
+    """The sample's rows; NaN is given as NULL with is_nan, so that each row can be compared."""
+    rows = sample.rows_of_sample(table(spark, folder, "output_long_thin"), "identity_column", p4_sample(spark, folder), "snz_uid")
+    nan = F.coalesce(F.isnan("value_measure"), F.lit(False))
+    return rows.withColumn("is_nan", nan).withColumn("value_measure", F.when(~nan, F.col("value_measure")))
+
+
+#: The table at two earlier moments, for p4_growth.
+CUTS = ("2012-01-01", "2017-01-01")
+
+
+def _loads(people: DataFrame) -> list[DataFrame]:
+    """The population at three moments, made harder: at the second, members of the first moment are reported again without
+    arrival and others come that are dated before all; at the third, others come without arrival and at one same time."""
+    row = lambda who, at: people.select(F.expr(who).alias("snz_uid"), F.expr(at).cast("timestamp_ntz").alias("loaded_at"))
+    first = people.where(F.col("loaded_at") < F.lit(CUTS[0]).cast("timestamp_ntz"))
+    second = people.where(F.col("loaded_at") < F.lit(CUTS[1]).cast("timestamp_ntz"))
+    of_first = lambda who, at: first.select(F.expr(who).alias("snz_uid"), F.expr(at).cast("timestamp_ntz").alias("loaded_at"))
+    two = second.select("snz_uid", "loaded_at").unionByName(of_first("snz_uid", "null")).unionByName(of_first("-1 - snz_uid", "loaded_at - interval 20 years"))
+    three = row("snz_uid", "loaded_at").unionByName(row("-1 - snz_uid", "null")).unionByName(row("-1000000000000 - snz_uid", "timestamp_ntz '2000-01-01'"))
+    return [first.select("snz_uid", "loaded_at"), two, three]
+
+
+def p4_growth(spark: SparkSession, folder: str) -> DataFrame:
+    """load, members, chosen, lost: the register and its sample after each of three loads, and how many members of the
+    sample before are no longer in it."""
+    register = sample.Register(spark)
+    out, before = [], None
+    for i, rows in enumerate(_loads(table(spark, folder, "data_project_population"))):
+        register.load(rows, "snz_uid", "loaded_at")
+        known = register.members()
+        chosen = known.where(sample.selected(F.col("seq"), RATE)).select("id")
+        lost = 0 if before is None else before.join(chosen, "id", "left_anti").count()
+        out.append((i + 1, known.count(), chosen.count(), lost))
+        before = chosen
+    return spark.createDataFrame(out, "load int, members bigint, chosen bigint, lost bigint")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,15 +127,27 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_from_days, p4_sample, p4_rows, p6_ids, p6_lost, p7_found, p7_containers, p8_method, p8_found, p8_shares)
+    for f in (p1_found, p1_percentiles, p1_from_days, p4_sample, p4_rows, p4_growth, p6_ids, p6_lost, p7_found, p7_containers, p8_method, p8_found, p8_shares)
 }
 
+_CHOSEN = f"(seq::HUGEINT * {sample.GOLDEN} + {sample.SHIFT}) % {1 << sample.BITS} < {int(RATE * (1 << sample.BITS))}"
 _SAMPLE = f"""
-WITH f AS (SELECT snz_uid, CASE WHEN count(*) = count(loaded_at) THEN min(loaded_at) END AS first_arrived
-  FROM data_project_population WHERE snz_uid IS NOT NULL GROUP BY 1),
-n AS (SELECT snz_uid, row_number() OVER (ORDER BY first_arrived NULLS FIRST, snz_uid) - 1 AS seq FROM f),
-s AS (SELECT snz_uid, seq FROM n WHERE (seq::HUGEINT * {sample.GOLDEN} + {sample.SHIFT}) % {1 << sample.BITS} < {int(RATE * (1 << sample.BITS))})
+WITH f AS (SELECT snz_uid, min(loaded_at) AS first_arrived FROM data_project_population WHERE snz_uid IS NOT NULL GROUP BY 1),
+n AS (SELECT snz_uid, row_number() OVER (ORDER BY first_arrived NULLS LAST, snz_uid) - 1 AS seq FROM f),
+s AS (SELECT snz_uid, seq FROM n WHERE {_CHOSEN})
 """
+_GROWTH = f"""
+WITH p AS (SELECT snz_uid, loaded_at FROM data_project_population),
+l1 AS (SELECT * FROM p WHERE loaded_at < TIMESTAMP '{CUTS[0]}'),
+l2 AS (SELECT * FROM p WHERE loaded_at < TIMESTAMP '{CUTS[1]}' UNION ALL SELECT snz_uid, NULL FROM l1
+  UNION ALL SELECT -1 - snz_uid, loaded_at - INTERVAL 20 YEAR FROM l1),
+l3 AS (SELECT * FROM p UNION ALL SELECT -1 - snz_uid, NULL FROM p UNION ALL SELECT -1000000000000 - snz_uid, TIMESTAMP '2000-01-01' FROM p),
+a AS (SELECT 1 AS load, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3),
+g AS (SELECT snz_uid, load, min(loaded_at) AS came FROM a WHERE snz_uid IS NOT NULL GROUP BY 1, 2
+  QUALIFY load = min(load) OVER (PARTITION BY snz_uid)),
+n AS (SELECT load, row_number() OVER (ORDER BY load, came NULLS LAST, snz_uid) - 1 AS seq FROM g)
+SELECT l.load, count(*) AS members, count(*) FILTER (WHERE {_CHOSEN}) AS chosen, 0::BIGINT AS lost
+FROM (SELECT unnest([1, 2, 3]) AS load) l JOIN n ON n.load <= l.load GROUP BY 1"""
 
 _WORDS = """
 WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM documents),
@@ -121,7 +167,10 @@ SELECT m.label_measure, m.pct FROM measure_limits m JOIN r ON {fold_sql('m.label
   AND r.i = greatest(1, CAST(ceil(m.pct * r.n / 100.0) AS BIGINT))
 WHERE x < low_value OR x > high_value""",
     "p4_sample": _SAMPLE + "SELECT snz_uid, seq FROM s",
-    "p4_rows": _SAMPLE + "SELECT * FROM output_long_thin WHERE identity_column IN (SELECT snz_uid FROM s)",
+    "p4_rows": _SAMPLE
+    + """SELECT * REPLACE (CASE WHEN NOT isnan(value_measure) THEN value_measure END AS value_measure), coalesce(isnan(value_measure), false) AS is_nan
+FROM output_long_thin WHERE identity_column IN (SELECT snz_uid FROM s)""",
+    "p4_growth": _GROWTH,
     "p6_lost": "SELECT doc_id FROM documents WHERE false",
     "p8_found": _WORDS + "SELECT t.doc_id FROM t JOIN r ON t.doc_id = r.doc_id WHERE repeated * 5 > len(w) * 2",
     "p8_shares": _WORDS

@@ -67,6 +67,32 @@ def test_rows_of_the_sample(spark):
 
 def test_nulls_rates_and_empty(spark):
     df = spark.createDataFrame([(None, T0, "", "", ""), (5, None, "", "", ""), (4, T0, "", "", "")], SCHEMA)
-    assert [(r["who"], r["seq"]) for r in s.sequence_numbers(df, "who", "at").orderBy("seq").collect()] == [(5, 0), (4, 1)]
+    assert [(r["who"], r["seq"]) for r in s.sequence_numbers(df, "who", "at").orderBy("seq").collect()] == [(4, 0), (5, 1)]
     assert s.golden_sample(df, "who", "at", 1.0).count() == 2 and s.golden_sample(df, "who", "at", 0.0).count() == 0
     assert s.golden_sample(df.where("false"), "who", "at", 0.5).count() == 0
+
+
+def test_a_register_loses_no_member(spark, tmp_path):
+    """Members without arrival, dated before all, tied with others or with lesser ids come; known members come again."""
+    r = s.Register(spark, f"file://{tmp_path}/register", 3)
+    first = people(spark, 200)
+    assert r.load(first, "who", "at") == 200
+    before = {x["id"]: x["seq"] for x in r.members().collect()}
+    rows = [(-1, None), (-2, T0 - dt.timedelta(days=9)), (-3, T0), (-4, T0), (None, T0)]
+    rows += [(x["who"], None) for x in first.limit(50).collect()] + [(x["who"], T0 - dt.timedelta(days=99)) for x in first.limit(90).collect()]
+    more = spark.createDataFrame(rows, "who bigint, at timestamp").withColumn("id", F.lit("x"))
+    assert r.load(more, "who", "at") == 4
+    now = {x["id"]: x["seq"] for x in r.members().collect()}
+    assert before.items() <= now.items()
+    assert {k: v for k, v in now.items() if k not in before} == {-2: 200, -4: 201, -3: 202, -1: 203}
+    assert r.load(more, "who", "at") == 0 and r.load(more.where("false"), "who", "at") == 0
+    assert {x["load"] for x in r.members().collect()} == {0, 1}
+    again = s.golden_sample(first.where("false"), "who", "at", 0.1, register=f"file://{tmp_path}/register")
+    assert ids(again) == {k for k, v in now.items() if (v * s.GOLDEN + s.SHIFT) % 2**42 < int(0.1 * 2**42)}
+
+
+def test_a_register_is_not_shuffled_when_it_grows(spark, tmp_path):
+    r = s.Register(spark, f"file://{tmp_path}/register", 3)
+    r.load(people(spark, 100), "who", "at")
+    plan = r.members().groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
