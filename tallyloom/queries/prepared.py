@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import folded
 from tallyloom.operators import features, intervals, wide
 from tallyloom.queries.common import fold_sql, table
+from tallyloom.session import new_scratch
+from tallyloom.streaming import wide_ingest
 
 PAYMENTS = 0  # the store's type of payments; causes have their ids from 1 on
 SPANS = {"window": ("2000-01-01", "2019-12-31"), "ever": (None, None)}
@@ -75,22 +77,37 @@ WIDE = wide.WideSpec(
 )
 
 
-def _wide(spark: SparkSession, folder: str):
-    ids = wide.label_ids(table(spark, folder, "measure_reference"), "label_measure", "value_type")
-    return wide.sparse_deltas(table(spark, folder, "output_long_thin"), WIDE, ids), ids
+def _ids(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
+    return wide.label_ids(table(spark, folder, "measure_reference"), "label_measure", "value_type")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    deltas, ids = _wide(spark, folder)
-    return wide.unclear_cells(wide.compact_cells(deltas, WIDE), WIDE, ids)
+    ids = _ids(spark, folder)
+    return wide.unclear_cells(wide.cell_states(table(spark, folder, "output_long_thin"), WIDE, ids), WIDE, ids)
 
 
 def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
-    deltas, ids = _wide(spark, folder)
-    return wide.wide_rows(wide.compact_runs(deltas, WIDE), WIDE, ids)
+    ids = _ids(spark, folder)
+    return wide.wide_of_cells(wide.cell_states(table(spark, folder, "output_long_thin"), WIDE, ids), WIDE, ids)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_features, p3_found, p3_periods, p5_found, p5_wide)}
+#: Ends of the loads of p5_runs.
+LOADS = ("2020-09-01", "2021-05-01", "2022-01-01", "2022-09-01")
+
+
+def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p5_wide from stored runs: the table in five loads, each a run of sparse deltas, four of them merged."""
+    ids, rows, runs = _ids(spark, folder), table(spark, folder, "output_long_thin"), new_scratch(spark, "runs")
+    at = F.coalesce(F.col("loaded_at"), F.lit(LOADS[0]).cast("timestamp_ntz"))
+    ends = [F.lit(x).cast("timestamp_ntz") for x in LOADS]
+    for i in range(len(LOADS) + 1):
+        load = rows.where((at >= ends[i - 1] if i else F.lit(True)) & (at < ends[i] if i < len(ends) else F.lit(True)))
+        wide_ingest.append_batch(load, i, runs, WIDE, ids)
+    wide_ingest.compact(spark, runs, WIDE)
+    return wide.wide_rows(wide_ingest.read_runs(spark, runs, WIDE), WIDE, ids)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_features, p3_found, p3_periods, p5_found, p5_wide, p5_runs)}
 
 _CELLS = f"""
 WITH l AS (SELECT label_measure AS label, value_type AS kind, {fold_sql('label_measure')} AS k FROM measure_reference),

@@ -3,7 +3,8 @@
 A segment is written once, by one shuffle of its own rows, and is never changed. Grouping or joining any number of segments
 by the key needs no shuffle: equal keys lie in files of equal bucket numbers, and a task reads one bucket of all segments.
 A segment counts only once its files are complete, so a job that failed half-way left nothing; writing a number again
-replaces it. One writer at a time is assumed.
+replaces it. Several segments may be merged to one: it counts instead of theirs from the moment it is complete. One writer
+at a time is assumed.
 """
 
 from __future__ import annotations
@@ -16,48 +17,62 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import delete_path, list_complete
 
-NO = "segment_no"
+#: The column with a row's segment, as text 'first-last' of the numbers that are in it.
+SEGMENT = "segment"
+Range = tuple[int, int]
 
 
 class Segments:
-    """The segments in a folder. keys and the number of buckets are the same for the life of a folder: the first segment's
-    number holds, which is the session's number of shuffle partitions unless given. With as many buckets as make files of
-    some 100 MB, a task's share of all segments fits its memory when it is aggregated by key."""
+    """The segments in a folder. keys (plain names) and the number of buckets are the same for the life of a folder: the first
+    segment's number holds, which is the session's number of shuffle partitions unless given. With as many buckets as make
+    files of some 100 MB, a task's share of all segments fits its memory when it is aggregated by key."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int | None = None) -> None:
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), list(keys)
         self._wanted = buckets
 
-    def _there(self) -> dict[int, str]:
-        """Folder names of the complete segments by their numbers: s<number>-<buckets>."""
-        return {int(x[1:].split("-")[0]): x for x in list_complete(self.spark, self.folder) if re.fullmatch(r"s\d+-\d+", x)}
+    def _there(self) -> dict[Range, str]:
+        """Folder names of the complete segments by their numbers: s<first>-<last>-<buckets>."""
+        found = (re.fullmatch(r"s(\d+)-(\d+)-\d+", x) for x in list_complete(self.spark, self.folder))
+        return {(int(m[1]), int(m[2])): m[0] for m in found if m}
 
     @property
     def buckets(self) -> int:
         for x in self._there().values():
-            return int(x.split("-")[1])
+            return int(x.split("-")[2])
         return self._wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def numbers(self) -> list[int]:
-        return sorted(self._there())
+    def ranges(self) -> list[Range]:
+        """Numbers of the segments that count, in order: those that lie in a wider one do not."""
+        have = self._there()
+        return sorted(r for r in have if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in have))
 
     def write(self, df: DataFrame, no: int | None = None) -> int:
-        """Store df as a segment, the next one if no number is given; its number is returned. A table that is already
-        partitioned by the keys into the folder's buckets, as one grouped from its segments is, is not shuffled again."""
-        no = max(self.numbers(), default=-1) + 1 if no is None else no
+        """Store df as a segment, the next one if no number is given; its number is returned."""
+        no = max((b for _, b in self.ranges()), default=-1) + 1 if no is None else no
+        self._store(df, (no, no))
+        return no
+
+    def replace(self, df: DataFrame, ranges: list[Range]) -> Range:
+        """Store df, made from the given neighbouring segments, in their place, and delete them. df should still be grouped by
+        the keys as it was read: then it is written without a shuffle."""
+        whole = (min(a for a, _ in ranges), max(b for _, b in ranges))
+        self._store(df, whole)
+        self.drop([r for r in ranges if r != whole])
+        return whole
+
+    def _store(self, df: DataFrame, r: Range) -> None:
         name, buckets = f"tallyloom_{uuid.uuid4().hex}", self.buckets
-        path = f"{self.folder}/s{no:09d}-{buckets}"
-        rows = df.drop(NO).repartition(buckets, *[F.col(k) for k in self.keys]).withColumn(NO, F.lit(no).cast("bigint"))
+        path = f"{self.folder}/s{r[0]:09d}-{r[1]:09d}-{buckets}"
+        rows = df.drop(SEGMENT).repartition(buckets, *[F.col(k) for k in self.keys]).withColumn(SEGMENT, F.lit(f"{r[0]}-{r[1]}"))
         delete_path(self.spark, path)
         w = rows.write.format("parquet").option("compression", "zstd").option("path", path)
         w.bucketBy(buckets, *self.keys).sortBy(*self.keys).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay: the table only served to write them
-        return no
 
-    def read(self, numbers: list[int] | None = None) -> DataFrame | None:
-        """Rows of the given segments, or of all complete ones, with their numbers; None if there are none."""
-        have = self._there()
-        wanted = [n for n in sorted(have) if numbers is None or n in numbers]
+    def read(self, ranges: list[Range] | None = None) -> DataFrame | None:
+        """Rows of the given segments, or of all that count, with the column SEGMENT; None if there are none."""
+        have, wanted = self._there(), self.ranges() if ranges is None else list(ranges)
         if not wanted:
             return None
         schema = self.spark.read.parquet(f"{self.folder}/{have[wanted[-1]]}").schema
@@ -70,10 +85,27 @@ class Segments:
         )
         rows = self.spark.table(name)  # resolved here, with the list of its files
         self.spark.sql(f"DROP TABLE {name}")
-        return rows.where(F.col(NO).isin(wanted))
+        return rows.where(F.col(SEGMENT).isin([f"{a}-{b}" for a, b in wanted]))
 
-    def drop(self, numbers: list[int]) -> None:
+    def drop(self, ranges: list[Range]) -> None:
         have = self._there()
-        for n in numbers:
-            if n in have:
-                delete_path(self.spark, f"{self.folder}/{have[n]}")
+        for r in ranges:
+            if r in have:
+                delete_path(self.spark, f"{self.folder}/{have[r]}")
+
+
+def tiers(ranges: list[Range], fan: int) -> list[Range] | None:
+    """The next `fan` neighbouring segments of one tier to merge, a tier's segments holding fan times as many numbers as the
+    one's below; None if no tier has so many."""
+
+    def tier(r: Range) -> int:
+        t, width = 0, r[1] - r[0] + 1
+        while width >= fan:
+            t, width = t + 1, width // fan
+        return t
+
+    for i in range(len(ranges) - fan + 1):
+        some = ranges[i : i + fan]
+        if len({tier(r) for r in some}) == 1:
+            return some
+    return None

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import session
-from tallyloom.sources.segments import NO, Segments
+from tallyloom.sources.segments import SEGMENT, Segments, tiers
 
 
 def rows(spark, a, b):
@@ -11,7 +11,7 @@ def rows(spark, a, b):
 
 def test_segments_add_up_without_a_shuffle(spark, tmp_path):
     s = Segments(spark, f"file://{tmp_path}/s", ["k", "part"], 3)
-    assert s.read() is None and s.numbers() == []
+    assert s.read() is None and s.ranges() == []
     assert [s.write(rows(spark, 0, 70)), s.write(rows(spark, 70, 140))] == [0, 1]
     total = Segments(spark, f"file://{tmp_path}/s", ["k", "part"]).read().groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
     assert "Exchange" not in total._jdf.queryExecution().executedPlan().toString()
@@ -23,18 +23,37 @@ def test_a_number_is_replaced_and_dropped(spark, tmp_path):
     s.write(rows(spark, 0, 10), 4)
     s.write(rows(spark, 0, 3), 4)
     s.write(rows(spark, 3, 5))
-    assert s.numbers() == [4, 5] and s.read().count() == 5 and s.read([4]).count() == 3
-    assert {r[NO] for r in s.read().collect()} == {4, 5}
-    s.drop([4])
-    assert s.numbers() == [5]
+    assert s.ranges() == [(4, 4), (5, 5)] and s.read().count() == 5 and s.read([(4, 4)]).count() == 3
+    assert {r[SEGMENT] for r in s.read().collect()} == {"4-4", "5-5"}
+    s.drop([(4, 4)])
+    assert s.ranges() == [(5, 5)]
 
 
 def test_an_unfinished_segment_does_not_count(spark, tmp_path):
     s = Segments(spark, f"file://{tmp_path}/s", ["part"], 2)
     s.write(rows(spark, 0, 10))
     s.write(rows(spark, 10, 20))
-    (tmp_path / "s" / "s000000001-2" / "_SUCCESS").unlink()
-    assert s.numbers() == [0] and s.read().count() == 10
+    (tmp_path / "s" / "s000000001-000000001-2" / "_SUCCESS").unlink()
+    assert s.ranges() == [(0, 0)] and s.read().count() == 10
+
+
+def test_merged_segments_count_instead_of_their_parts(spark, tmp_path):
+    s = Segments(spark, f"file://{tmp_path}/s", ["k"], 2)
+    for i in range(3):
+        s.write(rows(spark, 0, 14))
+    sums = s.read([(0, 0), (1, 1)]).groupBy("k").agg(F.sum("v").alias("v"))
+    s._store(sums, (0, 1))  # as if the writer had stopped before it deleted the parts
+    assert s.ranges() == [(0, 1), (2, 2)] and s.read().where("segment = '0-1'").count() == 7
+    more = s.read([(0, 1), (2, 2)]).groupBy("k").agg(F.sum("v").alias("v"))
+    assert "Exchange" not in more.repartition(2, "k")._jdf.queryExecution().executedPlan().toString()
+    assert s.replace(more, [(0, 1), (2, 2)]) == (0, 2) and s.ranges() == [(0, 2)]
+    assert s.read().agg(F.sum("v")).first()[0] == 3 * sum(range(14))
+
+
+def test_tiers():
+    assert tiers([(0, 0), (1, 1), (2, 2)], 4) is None
+    assert tiers([(0, 3), (4, 4), (5, 5), (6, 6), (7, 7)], 4) == [(4, 4), (5, 5), (6, 6), (7, 7)]
+    assert tiers([(0, 1), (2, 3), (4, 4)], 2) == [(0, 1), (2, 3)]
 
 
 def test_scratch_folder(spark):
