@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import quoted
 from tallyloom.operators.positions import with_positions
 from tallyloom.session import new_scratch
-from tallyloom.sources.segments import NO, Segments
+from tallyloom.sources.segments import SEGMENT, Segments
 
 BITS = 42
 #: 2^42 divided by the golden ratio, rounded to an odd number: every number below 2^42 has a point of its own.
@@ -65,7 +65,7 @@ class Register:
     def members(self) -> DataFrame | None:
         """id, first_arrived, seq, load of all members so far; None before the first."""
         found = self.loads.read()
-        return None if found is None else found.withColumnRenamed(NO, "load")
+        return None if found is None else found.withColumn("load", F.split_part(SEGMENT, F.lit("-"), F.lit(1)).cast("int")).drop(SEGMENT)
 
 
 def sequence_numbers(df: DataFrame, id_col: str, arrived: str, register: str | None = None) -> DataFrame:
