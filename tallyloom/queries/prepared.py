@@ -15,34 +15,41 @@ PAYMENTS = 0  # the store's type of payments; causes have their ids from 1 on
 SPANS = {"window": ("2000-01-01", "2019-12-31"), "ever": (None, None)}
 
 
-def person_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One map row per person: accidents by cause and payments, in the window and over all time."""
-    causes = table(spark, folder, "cause_reference").select("cause_id", folded(F.col("accident_cause")).alias("key"))
-    accidents = (
-        table(spark, folder, "data_accidents")
-        .select("snz_uid", "accident_date", folded(F.col("accident_cause")).alias("key"))
-        .join(causes.where("key is not null"), "key", "left")
-        .select("snz_uid", F.col("cause_id").alias("kind"), F.col("accident_date").alias("day"), F.lit(None).cast("double").alias("amount"))
-    )
-    payments = (
-        table(spark, folder, "data_benefit_payment")
-        .groupBy("snz_uid", "benefit_start_date", "benefit_end_date", "payments")
-        .agg(F.lit(1).alias("one"))
-        .select("snz_uid", F.lit(PAYMENTS).alias("kind"), F.col("benefit_start_date").alias("day"), F.col("payments").alias("amount"))
+def _accidents(spark: SparkSession, folder: str) -> DataFrame:
+    """Accidents with the id of their cause, NULL where it is none of the reference's few hundred (their number is checked)."""
+    causes = table(spark, folder, "cause_reference").select("cause_id", folded(F.col("accident_cause")).alias("key")).where("key is not null")
+    if len(causes.limit(5001).collect()) > 5000:
+        raise ValueError("more than 5000 causes")
+    rows = table(spark, folder, "data_accidents").select("snz_uid", "accident_date", "loaded_at", folded(F.col("accident_cause")).alias("key"))
+    return rows.join(F.broadcast(causes), "key", "left")
+
+
+def _payments(spark: SparkSession, folder: str) -> DataFrame:
+    """Different payments; loaded_at is that of the first record."""
+    rows = table(spark, folder, "data_benefit_payment")
+    return rows.groupBy("snz_uid", "benefit_start_date", "benefit_end_date", "payments").agg(F.min("loaded_at").alias("loaded_at"))
+
+
+def _days(accidents: DataFrame, payments: DataFrame) -> DataFrame:
+    return features.daily(accidents, "snz_uid", "cause_id", "accident_date").unionByName(
+        features.daily(payments, "snz_uid", None, "benefit_start_date", "payments", PAYMENTS)
     )
-    store = features.cumulative_store(accidents.unionByName(payments), "snz_uid", "kind", "day", "amount")
-    return features.entity_rows(features.asof_features(store, SPANS), list(SPANS))
+
+
+def person_rows(spark: SparkSession, folder: str, spans: dict[str, features.Span]) -> DataFrame:
+    """One map row per person: accidents by cause and payments, in each span."""
+    store = features.cumulated(_days(_accidents(spark, folder), _payments(spark, folder)))
+    return features.entity_rows(features.asof_features(store, spans), list(spans))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = person_rows(spark, folder).where(F.element_at("by_type", F.lit(PAYMENTS))["ever"]["total"] >= 1000)
+    rows = person_rows(spark, folder, SPANS).where(F.element_at("by_type", F.lit(PAYMENTS))["ever"]["total"] >= 1000)
     each = rows.select(F.col("entity").alias("snz_uid"), F.explode("by_type").alias("cause_id", "f"))
     hit = (F.col("cause_id") != PAYMENTS) & (F.col("f.window.days") >= 3) & (F.col("f.window.last_day") >= F.lit("2019-01-01").cast("date"))
     return each.where(hit).select("snz_uid", "cause_id")
 
 
-def p2_features(spark: SparkSession, folder: str) -> DataFrame:
-    rows = person_rows(spark, folder)
+def _wide_features(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     ids = [r[0] for r in table(spark, folder, "cause_reference").select("cause_id").distinct().orderBy("cause_id").limit(5001).collect()]
     if len(ids) > 5000:
         raise ValueError("more than 5000 causes: use the map rows")
@@ -55,6 +62,37 @@ def p2_features(spark: SparkSession, folder: str) -> DataFrame:
     return features.wide_features(rows, "ever", ids, keep=keep).withColumnRenamed("entity", "snz_uid")
 
 
+def p2_features(spark: SparkSession, folder: str) -> DataFrame:
+    return _wide_features(spark, folder, person_rows(spark, folder, {"ever": (None, None)}))
+
+
+#: The moment that parts the two loads of p2_store, and the span of p2_odd_amounts.
+LOADED, YEARS = "2015-01-01", ("2010-01-01", "2018-06-30")
+
+
+def p2_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p2_features from a kept store to which the events were appended in two loads."""
+    accidents, payments = _accidents(spark, folder), _payments(spark, folder)
+    store = features.FeatureStore(spark, new_scratch(spark, "store"))
+    early = F.coalesce(F.col("loaded_at") < F.lit(LOADED).cast("timestamp_ntz"), F.lit(True))
+    for some in (early, ~early):
+        store.append(_days(accidents.where(some), payments.where(some)))
+    return _wide_features(spark, folder, features.entity_rows(features.asof_features(store.read(), {"ever": (None, None)}), ["ever"]))
+
+
+def p2_odd_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Payments in YEARS per person, where payments before are made NaN, infinite or 1e17 larger, and zeros inside infinite."""
+    day, paid = F.col("benefit_start_date"), F.col("payments")
+    before = day < F.lit(YEARS[0]).cast("date")
+    odd = F.when(before & (paid < 0), float("nan")).when(before & (paid > 1000), float("inf")).when(before, paid + 1e17)
+    rows = table(spark, folder, "data_benefit_payment").withColumn("payments", odd.when(paid == 0, float("inf")).otherwise(paid))
+    store = features.cumulative_store(rows, "snz_uid", None, "benefit_start_date", "payments", PAYMENTS)
+    f = features.asof_features(store, {"years": YEARS})
+    return f.where("years.n > 0").select(
+        F.col("entity").alias("snz_uid"), "years.n", "years.days", "years.last_day", F.when(F.col("years.total") != float("inf"), F.col("years.total")).alias("total")
+    )
+
+
 def p3_periods(spark: SparkSession, folder: str) -> DataFrame:
     spells = table(spark, folder, "data_benefit_payment")
     both = intervals.periods_and_gaps(intervals.continuous_periods(spells, "snz_uid", "benefit_start_date", "benefit_end_date"))
@@ -107,7 +145,7 @@ def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
     return wide.wide_rows(wide_ingest.read_runs(spark, runs, WIDE), WIDE, ids)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_features, p3_found, p3_periods, p5_found, p5_wide, p5_runs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_store, p2_odd_amounts, p3_found, p3_periods, p5_found, p5_wide, p5_runs)}
 
 _CELLS = f"""
 WITH l AS (SELECT label_measure AS label, value_type AS kind, {fold_sql('label_measure')} AS k FROM measure_reference),
@@ -164,6 +202,11 @@ p AS (SELECT snz_uid, sum(payments) AS total FROM
 SELECT a.snz_uid, a.cause_id FROM a JOIN p ON a.snz_uid = p.snz_uid
 WHERE days >= 3 AND last_day >= DATE '2019-01-01' AND total >= 1000""",
     "p2_features": _features_sql(),
+    "p2_store": _features_sql(),
+    "p2_odd_amounts": f"""
+SELECT snz_uid, count(*) AS n, count(DISTINCT benefit_start_date) AS days, max(benefit_start_date) AS last_day,
+  CASE WHEN NOT bool_or(coalesce(payments, 1) = 0) THEN sum(payments) END AS total
+FROM data_benefit_payment WHERE snz_uid IS NOT NULL AND benefit_start_date BETWEEN DATE '{YEARS[0]}' AND DATE '{YEARS[1]}' GROUP BY 1""",
     "p3_found": _SPELLS
     + """
 SELECT snz_uid, 'period' AS kind, a::VARCHAR AS first_day, b::VARCHAR AS last_day FROM p WHERE n >= 2

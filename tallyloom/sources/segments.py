@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import delete_path, list_complete
 
-#: The column with a row's segment, as text 'first-last' of the numbers that are in it.
+#: The column with a row's segment, as text: first and last of the numbers that are in it, and how often it was replaced.
 SEGMENT = "segment"
 Range = tuple[int, int]
 
@@ -31,15 +31,21 @@ class Segments:
         self.spark, self.folder, self.keys = spark, folder.rstrip("/"), list(keys)
         self._wanted = buckets
 
-    def _there(self) -> dict[Range, str]:
-        """Folder names of the complete segments by their numbers: s<first>-<last>-<buckets>."""
-        found = (re.fullmatch(r"s(\d+)-(\d+)-\d+", x) for x in list_complete(self.spark, self.folder))
-        return {(int(m[1]), int(m[2])): m[0] for m in found if m}
+    def _there(self) -> dict[Range, tuple[int, int]]:
+        """Turn and buckets of the complete segments by their numbers; folders are named s<first>-<last>-<turn>-<buckets>."""
+        found = [re.fullmatch(r"s(\d+)-(\d+)-(\d+)-(\d+)", x) for x in list_complete(self.spark, self.folder)]
+        out: dict[Range, tuple[int, int]] = {}
+        for a, b, turn, buckets in sorted(tuple(map(int, m.groups())) for m in found if m):
+            out[a, b] = (turn, buckets)
+        return out
+
+    def _path(self, r: Range, turn: int, buckets: int) -> str:
+        return f"{self.folder}/s{r[0]:09d}-{r[1]:09d}-{turn}-{buckets}"
 
     @property
     def buckets(self) -> int:
-        for x in self._there().values():
-            return int(x.split("-")[2])
+        for _, buckets in self._there().values():
+            return buckets
         return self._wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ranges(self) -> list[Range]:
@@ -62,20 +68,22 @@ class Segments:
         return whole
 
     def _store(self, df: DataFrame, r: Range) -> None:
-        name, buckets = f"tallyloom_{uuid.uuid4().hex}", self.buckets
-        path = f"{self.folder}/s{r[0]:09d}-{r[1]:09d}-{buckets}"
-        rows = df.drop(SEGMENT).repartition(buckets, *[F.col(k) for k in self.keys]).withColumn(SEGMENT, F.lit(f"{r[0]}-{r[1]}"))
-        delete_path(self.spark, path)
-        w = rows.write.format("parquet").option("compression", "zstd").option("path", path)
+        name, buckets, old = f"tallyloom_{uuid.uuid4().hex}", self.buckets, self._there().get(r)
+        turn = old[0] + 1 if old else 0
+        rows = df.drop(SEGMENT).repartition(buckets, *[F.col(k) for k in self.keys]).withColumn(SEGMENT, F.lit(f"{r[0]}-{r[1]}-{turn}"))
+        delete_path(self.spark, self._path(r, turn, buckets))  # what a failed job left
+        w = rows.write.format("parquet").option("compression", "zstd").option("path", self._path(r, turn, buckets))
         w.bucketBy(buckets, *self.keys).sortBy(*self.keys).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay: the table only served to write them
+        if old:
+            delete_path(self.spark, self._path(r, *old))
 
     def read(self, ranges: list[Range] | None = None) -> DataFrame | None:
         """Rows of the given segments, or of all that count, with the column SEGMENT; None if there are none."""
         have, wanted = self._there(), self.ranges() if ranges is None else list(ranges)
         if not wanted:
             return None
-        schema = self.spark.read.parquet(f"{self.folder}/{have[wanted[-1]]}").schema
+        schema = self.spark.read.parquet(self._path(wanted[-1], *have[wanted[-1]])).schema
         tick = lambda c: "`" + c.replace("`", "``") + "`"
         name, keys = f"tallyloom_{uuid.uuid4().hex}", ", ".join(map(tick, self.keys))
         columns = ", ".join(f"{tick(f.name)} {f.dataType.simpleString()}" for f in schema)
@@ -85,13 +93,13 @@ class Segments:
         )
         rows = self.spark.table(name)  # resolved here, with the list of its files
         self.spark.sql(f"DROP TABLE {name}")
-        return rows.where(F.col(SEGMENT).isin([f"{a}-{b}" for a, b in wanted]))
+        return rows.where(F.col(SEGMENT).isin([f"{a}-{b}-{have[a, b][0]}" for a, b in wanted]))
 
     def drop(self, ranges: list[Range]) -> None:
         have = self._there()
         for r in ranges:
             if r in have:
-                delete_path(self.spark, f"{self.folder}/{have[r]}")
+                delete_path(self.spark, self._path(r, *have[r]))
 
 
 def tiers(ranges: list[Range], fan: int) -> list[Range] | None:

@@ -56,7 +56,7 @@ def test_rows_and_columns(spark):
 def test_one_type_for_all(spark):
     df = spark.createDataFrame([(1, D(2020, 1, 1))], "who bigint, day date")
     r = f.cumulative_store(df, "who", None, "day", type_value=7).first()
-    assert (r["type"], r["cum_n"], r["cum_days"], r["cum_total"]) == (7, 1, 1, 0.0)
+    assert (r["type"], r["cum_n"], r["cum_days"], r["cum_low"]) == (7, 1, 1, 0.0)
 
 
 def test_hot_entity_is_reduced_before_the_window(spark):
@@ -65,3 +65,39 @@ def test_hot_entity_is_reduced_before_the_window(spark):
     store = f.cumulative_store(df, "who", "what", "day")
     assert store.count() == 5
     assert store.agg(F.max("cum_n")).first()[0] == 20000
+
+
+def test_totals_survive_what_lies_outside_the_window(spark):
+    nan, inf, day = float("nan"), float("inf"), lambda y: D(y, 6, 1)
+    rows = []
+    for who, before in ((1, [nan]), (2, [1e17]), (3, [inf, -inf]), (4, [1e300, -3e25]), (5, [])):
+        rows += [(who, 1, day(2019), x, "", "") for x in before] + [(who, 1, day(2021), 5.0, "", ""), (who, 1, day(2021), 0.25, "", "")]
+    rows += [(6, 1, day(2021), nan, "", ""), (7, 1, day(2021), inf, "", ""), (8, 1, day(2021), inf, "", ""), (8, 1, day(2022), -inf, "", ""), (9, 1, day(2021), None, "", "")]
+    rows += [(10, 1, day(2021), 1e17, "", ""), (10, 1, day(2021), 3.0, "", ""), (10, 1, day(2022), -1e17, "", "")]
+    got = rows_of(spark, rows, {"late": (D(2020, 1, 1), None), "early": (None, D(2020, 1, 1))})
+    late = {k[0]: r["late"]["total"] for k, r in got.items()}
+    assert [late[w] for w in (1, 2, 3, 4, 5, 7, 9, 10)] == [5.25] * 5 + [inf, None, 3.0]
+    assert late[6] != late[6] and late[8] != late[8]
+    early = {k[0]: r["early"]["total"] for k, r in got.items()}
+    assert early[2] == 1e17 and early[4] == 1e300 and early[1] != early[1] and early[3] != early[3] and early[5] is None
+
+
+def test_a_kept_store_is_extended(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3]), rng.choice([1, None]), None if rng.random() < 0.1 else D(2020, 1, 1) + dt.timedelta(rng.randrange(40)), rng.choice([None, 1.5, 2.0, 1e17, float("nan")]), "e", "t") for _ in range(300)]
+    spans = {"feb": (D(2020, 1, 12), D(2020, 2, 1)), "ever": (None, None)}
+    store = f.FeatureStore(spark, f"file://{tmp_path}/store", 3)
+    assert store.read() is None
+    for i in range(3):
+        df = spark.createDataFrame(rows[i::3], EVENTS)
+        assert store.append(f.daily(df, "who", "what", "day", "x")) == i
+    store.append(f.daily(df, "who", "what", "day", "x"), 2)  # the last append made again
+    out = f.asof_features(store.read(), spans)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["entity"], r["type"]): str(r) for r in out.collect()} == {k: str(r) for k, r in rows_of(spark, rows, spans).items()}
+
+
+def test_type_names_are_quoted(spark):
+    df = spark.createDataFrame([(1, "it's", D(2020, 1, 1))], "who bigint, what string, day date")
+    feats = f.asof_features(f.cumulative_store(df, "who", "what", "day"), {"ever": (None, None)})
+    assert f.wide_features(f.entity_rows(feats, ["ever"]), "ever", ["it's", "b"]).first().asDict() == {"entity": 1, "cit's_n": 1, "cit's_last": D(2020, 1, 1), "cb_n": 0, "cb_last": None}

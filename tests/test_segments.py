@@ -24,7 +24,7 @@ def test_a_number_is_replaced_and_dropped(spark, tmp_path):
     s.write(rows(spark, 0, 3), 4)
     s.write(rows(spark, 3, 5))
     assert s.ranges() == [(4, 4), (5, 5)] and s.read().count() == 5 and s.read([(4, 4)]).count() == 3
-    assert {r[SEGMENT] for r in s.read().collect()} == {"4-4", "5-5"}
+    assert {r[SEGMENT] for r in s.read().collect()} == {"4-4-1", "5-5-0"}
     s.drop([(4, 4)])
     assert s.ranges() == [(5, 5)]
 
@@ -33,7 +33,7 @@ def test_an_unfinished_segment_does_not_count(spark, tmp_path):
     s = Segments(spark, f"file://{tmp_path}/s", ["part"], 2)
     s.write(rows(spark, 0, 10))
     s.write(rows(spark, 10, 20))
-    (tmp_path / "s" / "s000000001-000000001-2" / "_SUCCESS").unlink()
+    (tmp_path / "s" / "s000000001-000000001-0-2" / "_SUCCESS").unlink()
     assert s.ranges() == [(0, 0)] and s.read().count() == 10
 
 
@@ -43,7 +43,7 @@ def test_merged_segments_count_instead_of_their_parts(spark, tmp_path):
         s.write(rows(spark, 0, 14))
     sums = s.read([(0, 0), (1, 1)]).groupBy("k").agg(F.sum("v").alias("v"))
     s._store(sums, (0, 1))  # as if the writer had stopped before it deleted the parts
-    assert s.ranges() == [(0, 1), (2, 2)] and s.read().where("segment = '0-1'").count() == 7
+    assert s.ranges() == [(0, 1), (2, 2)] and s.read().where("segment = '0-1-0'").count() == 7
     more = s.read([(0, 1), (2, 2)]).groupBy("k").agg(F.sum("v").alias("v"))
     assert "Exchange" not in more.repartition(2, "k")._jdf.queryExecution().executedPlan().toString()
     assert s.replace(more, [(0, 1), (2, 2)]) == (0, 2) and s.ranges() == [(0, 2)]
