@@ -1,8 +1,9 @@
 """Cohort assembly: population periods joined to measure spells, summarised nine ways, as a long-thin and a wide table.
 
 All population rows are one table of members and periods. Measures on the same table, identity and spell dates share one
-join with it, and of them all that have a literal label share one grouping; labels from columns and histograms group by
-their label as well. Partial results are formed in the tasks of the join, before anything is shuffled again.
+join with it and one grouping: a joined row counts once for all measures with a literal label and once for each whose label
+comes from a column or is a histogram's, by that label. Partial results are formed in the tasks of the join, before
+anything is shuffled again.
 """
 
 from __future__ import annotations
@@ -46,19 +47,21 @@ def _factor() -> Column:
     return F.try_divide(_days(F.greatest("m_start", "p_start"), F.least("m_end", "p_end")), _days(F.col("m_start"), F.col("m_end")))
 
 
-def summary_value(m: MeasureRow, value: Column, numeric: bool) -> Column:
-    """The aggregate of a measure over the joined rows, as a double."""
+def summary_value(m: MeasureRow, value: Column, numeric: bool, only: Column | None = None) -> Column:
+    """The aggregate of a measure over the joined rows, or those of them for which `only` holds, as a double."""
     v = value
     if m.summary in control.NUMERIC:
         v = value.cast("double") if numeric else value.cast("string").cast("double")
         v = v * _factor() if m.proportional else v
     if m.summary == "DURATION":
-        d = _days(F.greatest("m_start", "p_start"), F.least("m_end", "p_end")) if m.proportional else _days(F.col("m_start"), F.col("m_end"))
-        return F.sum(d)
+        v = _days(F.greatest("m_start", "p_start"), F.least("m_end", "p_end")) if m.proportional else _days(F.col("m_start"), F.col("m_end"))
+    if only is not None:
+        v = F.when(only, v)
     agg = {
         "MIN": lambda: F.min(v),
         "MAX": lambda: F.max(v),
         "SUM": lambda: F.sum(v),
+        "DURATION": lambda: F.sum(v),
         "MEAN": lambda: F.avg(v),
         "COUNT": lambda: F.count(v),
         "HISTOGRAM": lambda: F.count(v),
@@ -118,14 +121,20 @@ def long_thin(populations: list[tuple[PopulationRow, DataFrame]], measures: list
         tables[m.table] = df
         if m.proportional and m.summary in IGNORES_PROPORTION:
             warnings.warn(f"proportional is ignored for {m.summary}", stacklevel=2)
-    # a development run cuts the parts of each population row, so they stay apart
+    # a development run cuts the rows of each population row and measure, so they stay apart
     people = [_people([p]) for p in populations] if development else [_people(populations)]
-    parts = [q for some in people for s, ms in groups.items() for q in _parts(some, tables[s.table], s, ms)]
-    out = [q.limit(DEVELOPMENT_ROWS) if development else q for q in parts]
-    return reduce(DataFrame.unionByName, out)
+    each = [(s, [m]) for s, ms in groups.items() for m in ms] if development else list(groups.items())
+    parts = [_part(some, tables[s.table], s, ms) for some in people for s, ms in each]
+    return reduce(DataFrame.unionByName, [q.limit(DEVELOPMENT_ROWS) if development else q for q in parts])
 
 
-def _parts(people: DataFrame, table: DataFrame, s: _Spell, ms: list[MeasureRow]) -> list[DataFrame]:
+def _part(people: DataFrame, table: DataFrame, s: _Spell, ms: list[MeasureRow]) -> DataFrame:
+    """All measures of one spell table: one join, one grouping by group, part and label.
+
+    Part 0 has no label and holds the measures with a literal one, each a column of the grouping; part i is the i-th measure
+    whose label has to be read. Different values are counted by Spark's own rewriting of distinct aggregates, which
+    multiplies the joined rows and not the join.
+    """
     needed = sorted({c.text for m in ms for c in (m.label, m.value) if c.is_column})
     joined = _joined(people, table, s, needed)
     types = {f.name: f.dataType for f in table.schema}
@@ -133,29 +142,33 @@ def _parts(people: DataFrame, table: DataFrame, s: _Spell, ms: list[MeasureRow])
     def at(c: Cell) -> Column:
         return quoted(f"m_{c.text}") if c.is_column else F.lit(c.text)
 
-    def value(m: MeasureRow) -> Column:
-        return summary_value(m, at(m.value), m.value.is_column)
+    def text(c: Cell) -> Column:
+        return number_text(at(c), types[c.text]) if c.is_column else F.lit(c.text)
 
+    plain = [m for m in ms if not m.label.is_column and m.summary != "HISTOGRAM"]
+    labelled = [m for m in ms if m.label.is_column or m.summary == "HISTOGRAM"]
     group = F.struct(*GROUP).alias("p")
+    rows = joined.select(group, "p_start", "p_end", "m_start", "m_end", *[quoted(f"m_{c}") for c in needed])
+    if labelled:
+        labels = [F.concat(text(m.label), F.lit("="), text(m.value)) if m.summary == "HISTOGRAM" else text(m.label) for m in labelled]
+        kinds = [F.struct(F.lit(0).alias("part"), F.lit(None).cast("string").alias("label"))] if plain else []
+        kinds += [F.struct(F.lit(i).alias("part"), x.alias("label")) for i, x in enumerate(labels, 1)]
+        rows = rows.withColumn("k", F.explode(F.array(*kinds))).where("k.part = 0 or k.label is not null")
+    else:
+        rows = rows.withColumn("k", F.struct(F.lit(0).alias("part"), F.lit(None).cast("string").alias("label")))
+
+    def value(m: MeasureRow, part: int) -> Column:
+        return summary_value(m, at(m.value), m.value.is_column, F.col("k.part") == part if labelled else None)
+
+    values = [value(m, 0).alias(f"v{i}") for i, m in enumerate(plain)] + [value(m, i).alias(f"w{i}") for i, m in enumerate(labelled, 1)]
+    found = rows.groupBy("p", F.col("k.part").alias("part"), F.col("k.label").alias("label")).agg(*values)
+    pair = lambda label, value: F.struct(label.alias("label_measure"), F.col(value).alias("value_measure"))
+    out = F.array(*[pair(F.lit(m.label.text), f"v{i}") for i, m in enumerate(plain)]) if plain else None
+    for i in range(1, len(labelled) + 1):
+        one, here = F.array(pair(F.col("label"), f"w{i}")), F.col("part") == i
+        out = one if out is None else F.when(here, one).otherwise(out)
     fields = [F.col(f"p.{k}").alias(f) for k, f in zip(KEYS, FIELDS)]
-    plain = [m for m in ms if not m.label.is_column and m.summary != "HISTOGRAM"]
-    parts = []
-    # one distinct aggregate at most per grouping: several would each multiply the joined rows
-    for some in (x for x in ([m for m in plain if m.summary != "DISTINCT"], *[[m] for m in plain if m.summary == "DISTINCT"]) if x):
-        wide = joined.groupBy(group).agg(*[value(m).alias(f"v{i}") for i, m in enumerate(some)])
-        pairs = F.explode(F.array(*[F.struct(F.lit(m.label.text).alias("label_measure"), F.col(f"v{i}").alias("value_measure")) for i, m in enumerate(some)]))
-        parts.append(wide.select(*fields, pairs.alias("x")).select(*FIELDS, "x.*"))
-    for m in ms:
-        if m in plain:
-            continue
-        label = number_text(at(m.label), types[m.label.text]) if m.label.is_column else F.lit(m.label.text)
-        if m.summary == "HISTOGRAM":
-            text = number_text(at(m.value), types[m.value.text]) if m.value.is_column else F.lit(m.value.text)
-            label = F.concat(label, F.lit("="), text)
-        labelled = joined.withColumn("label_measure", label).where("label_measure is not null")
-        grouped = labelled.groupBy(group, "label_measure").agg(value(m).alias("value_measure"))
-        parts.append(grouped.select(*fields, "label_measure", "value_measure"))
-    return parts
+    return found.select(*fields, F.explode(out).alias("x")).select(*FIELDS, "x.*")
 
 
 def rectangular(long: DataFrame, labels: list[str] | None = None) -> DataFrame:

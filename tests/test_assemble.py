@@ -104,10 +104,11 @@ def test_development_mode_and_control_files(spark, tables, tmp_path):
 
 def test_one_join_per_spell_table(spark, tables):
     ps = [(p, spark.table(p.table)) for p in c.population_rows(c.read_control(spark, population()))]
-    some = measures()[measures()["Measure_summarised_by"].isin(["SUM", "MAX", "MIN", "MEAN", "DURATION"])]
-    ms = [(m, spark.table(m.table)) for m in c.measure_rows(c.read_control(spark, some))]
+    whole = c.measure_rows(c.read_control(spark, measures()))
+    assert {m.summary for m in whole} == set(c.SUMMARIES) and len({m.table for m in whole}) == 2
+    ms = [(m, spark.table(m.table)) for m in whole]
     plan = a.long_thin(ps, ms)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join Inner") == 1
+    assert plan.count("Join Inner") == 2
 
 
 def test_equal_population_rows_stay_apart(spark, tables):
