@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import quoted
 from tallyloom.sources.catalog import check_case_clashes
 
-AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "mean": F.avg, "count": F.count}
-#: Aggregates per step of a pivot: beyond it generated code no longer fits a method, so wider pivots go through a map.
-INLINE_LABELS = 200
+AGGREGATES = ("sum", "min", "max", "avg", "mean", "count")
 MOST_LABELS = 20_000
 
 
@@ -49,37 +47,63 @@ def pivot_table(df: DataFrame, label: str, value: str, aggregator: str | Callabl
     """One row per combination of all other columns, one column per label, in order of the labels.
 
     A column aggregates the value of rows with its label and `fill` for rows with another, so absent combinations give 0
-    (and with min or max the 0 takes part). Rows without a label keep their group but count in no column. Labels, unless
-    given, are found by a query of their own.
+    (and with min, max, avg or count the 0 takes part). Rows without a label keep their group but count in no column.
+    Labels, unless given, are found by a query of their own.
+
+    A named aggregate goes by cells, whatever the number of labels: rows are reduced to a cell per group and label before
+    the shuffle, and what fill adds to a cell follows from the number of the group's other rows. A function of one's own
+    can only be applied per label to all rows of a group, which is for a few hundred labels at most.
     """
     _need(df, [label, value])
     labels = distinct_labels(df, label) if labels is None else labels
     keys = [c for c in df.columns if c not in (label, value)]
     check_case_clashes([*keys, *labels])
-    is_sum = aggregator == "sum"
-    agg = AGGREGATES[aggregator] if isinstance(aggregator, str) else aggregator
     lab, val = quoted(label).cast("string"), quoted(value)
-    if len(labels) > INLINE_LABELS and is_sum and fill == 0:
-        return _wide_pivot(df, keys, lab, val, labels)
+    if isinstance(aggregator, str):
+        if aggregator not in AGGREGATES:
+            raise ValueError(f"aggregator is one of {', '.join(AGGREGATES)}, or a function")
+        return _by_cells(df, keys, lab, val, aggregator, fill, labels)
     cells = []
     for x in labels:
         cell = F.when(lab == x, val)
-        cells.append(agg(cell if fill is None else cell.when(lab != x, F.lit(fill))).alias(x))
+        cells.append(aggregator(cell if fill is None else cell.when(lab != x, F.lit(fill))).alias(x))
     return df.groupBy(*map(quoted, keys)).agg(*cells)
 
 
-def _wide_pivot(df: DataFrame, keys: list[str], lab: Column, val: Column, labels: list[str]) -> DataFrame:
-    """The same sum by two groupings: cells first, reduced before the shuffle, then a map of a row's cells, then columns."""
-    cells = df.select(*map(quoted, keys), lab.alias("__label"), val.alias("__value")).groupBy(*map(quoted, keys), "__label").agg(F.sum("__value").alias("__sum"))
-    entry = F.when(F.col("__label").isNotNull(), F.struct("__label", "__sum"))
-    rows = cells.groupBy(*map(quoted, keys)).agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"), F.count("__label").alias("__n"))
-
-    def column(x: str) -> Column:
-        here, sum_ = F.map_contains_key("__cells", F.lit(x)), F.element_at("__cells", F.lit(x))
-        others = F.col("__n") - F.when(here, 1).otherwise(0) > 0
-        return F.when(others, F.coalesce(sum_, F.lit(0))).otherwise(sum_).alias(x)
-
-    return rows.select(*map(quoted, keys), *[column(x) for x in labels])
+def _by_cells(df: DataFrame, keys: list[str], lab: Column, val: Column, aggregator: str, fill: float | None, labels: list[str]) -> DataFrame:
+    parts = {
+        "sum": [F.sum("__value").alias("sum")],
+        "min": [F.min("__value").alias("min")],
+        "max": [F.max("__value").alias("max")],
+        "avg": [F.sum(F.col("__value").cast("double")).alias("sum"), F.count("__value").alias("n")],
+        "count": [F.count("__value").alias("n")],
+    }
+    name = "avg" if aggregator == "mean" else aggregator
+    by = [*map(quoted, keys)]
+    rows = df.select(*by, lab.alias("__label"), val.alias("__value"))
+    cells = rows.groupBy(*by, "__label").agg(F.count(F.lit(1)).alias("__rows"), *[p.alias(f"__{i}") for i, p in enumerate(parts[name])])
+    cell = F.struct(F.col("__rows").alias("rows"), *[F.col(f"__{i}").alias(("sum", "n")[i] if name == "avg" else "x") for i in range(len(parts[name]))])
+    entry = F.when(F.col("__label").isNotNull(), F.struct(F.col("__label"), cell))
+    wide = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("__cells"), F.coalesce(F.sum(F.when(F.col("__label").isNotNull(), F.col("__rows"))), F.lit(0)).alias("__all"))
+
+    number = "0" if not fill else repr(fill) + ("D" if isinstance(fill, float) else "")
+
+    def column(label: str) -> str:  # as text: thousands of columns are parsed much faster than built call by call
+        text = label.replace("\\", "\\\\").replace("'", "\\'")
+        c = f"__cells['{text}']"
+        others = f"(__all - coalesce({c}.rows, 0L))" if fill is not None else "0L"
+        if name == "count":
+            return f"coalesce({c}.x, 0L) + {others}"
+        if name == "avg":
+            return f"try_divide(coalesce({c}.sum, 0D) + {others} * {number}, coalesce({c}.n, 0L) + {others})"
+        if fill is None:
+            return f"{c}.x"
+        more = f" + {others} * {number}" if fill else ""
+        filled = {"sum": f"coalesce({c}.x, 0){more}", "min": f"least({c}.x, {number})", "max": f"greatest({c}.x, {number})"}[name]
+        return f"CASE WHEN {others} > 0 THEN {filled} ELSE {c}.x END"
+
+    tick = lambda x: "`" + x.replace("`", "``") + "`"
+    return wide.selectExpr(*map(tick, keys), *[f"{column(x)} AS {tick(x)}" for x in labels])
 
 
 def collapse_indicator_columns(df: DataFrame, prefix: str, yes_values: list, label: str | None = None) -> DataFrame:

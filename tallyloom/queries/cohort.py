@@ -64,26 +64,26 @@ def _measure(name: str, label: str, value: str, summary: str, prop: bool = False
 
 
 POPULATIONS = [
-    _population("before", "[registration_date]", "[appointment_date]", '"registration to appointment"'),
-    _population("after", "[appointment_date]", '"2019-12-31"', "[appointment_type]"),
+    _population("lead_in", "[registration_date]", "[appointment_date]", "[appointment_type]"),
+    _population("decade", '"2008-07-01"', '"2018-06-30"', '"ten years to mid 2018"'),
 ]
 MEASURES = {
-    "num_accidents": _measure(ACCIDENTS, '"num_accidents"', '"1"', "COUNT"),
-    "num_causes": _measure(ACCIDENTS, '"num_causes"', "[accident_cause]", "COUNT"),
-    "histogram": _measure(ACCIDENTS, '"cause"', "[accident_cause]", "HISTOGRAM"),
-    "column_label": _measure(ACCIDENTS, "[accident_cause]", '"1"', "COUNT"),
-    "any_accident": _measure(ACCIDENTS, '"any_accident"', "[accident_cause]", "EXISTS"),
-    "sum": _measure(BENEFITS, '"sum_benefit_all"', "[payments]", "SUM"),
-    "sum_prop": _measure(BENEFITS, '"sum_benefit_within"', "[payments]", "SUM", True),
-    "max": _measure(BENEFITS, '"max_payment"', "[payments]", "MAX"),
-    "min": _measure(BENEFITS, '"min_payment"', "[payments]", "MIN"),
-    "max_prop": _measure(BENEFITS, '"max_within"', "[payments]", "MAX", True),
-    "min_prop": _measure(BENEFITS, '"min_within"', "[payments]", "MIN", True),
-    "duration": _measure(BENEFITS, '"duration_all"', '"1"', "DURATION"),
-    "duration_prop": _measure(BENEFITS, '"duration_within"', '"1"', "DURATION", True),
-    "mean": _measure(BENEFITS, '"avg_payment"', "[payments]", "MEAN"),
-    "mean_prop": _measure(BENEFITS, '"avg_payment_prop"', "[payments]", "MEAN", True),
-    "distinct": _measure(BENEFITS, '"dist_payments"', "[payments]", "DISTINCT"),
+    "num_accidents": _measure(ACCIDENTS, '"acc_days"', "[accident_date]", "COUNT"),
+    "num_causes": _measure(ACCIDENTS, '"acc_with_cause"', "[accident_cause]", "COUNT"),
+    "histogram": _measure(ACCIDENTS, '"by"', "[accident_cause]", "HISTOGRAM"),
+    "column_label": _measure(ACCIDENTS, "[accident_cause]", "[snz_uid]", "COUNT"),
+    "any_accident": _measure(ACCIDENTS, '"acc_seen"', "[accident_cause]", "EXISTS"),
+    "sum": _measure(BENEFITS, '"paid"', "[payments]", "SUM"),
+    "sum_prop": _measure(BENEFITS, '"paid_share"', "[payments]", "SUM", True),
+    "max": _measure(BENEFITS, '"paid_most"', "[payments]", "MAX"),
+    "min": _measure(BENEFITS, '"paid_least"', "[payments]", "MIN"),
+    "max_prop": _measure(BENEFITS, '"paid_most_share"', "[payments]", "MAX", True),
+    "min_prop": _measure(BENEFITS, '"paid_least_share"', "[payments]", "MIN", True),
+    "duration": _measure(BENEFITS, '"spell_days"', "[payments]", "DURATION"),
+    "duration_prop": _measure(BENEFITS, '"spell_days_share"', "[payments]", "DURATION", True),
+    "mean": _measure(BENEFITS, '"paid_mean"', "[payments]", "MEAN"),
+    "mean_prop": _measure(BENEFITS, '"paid_mean_share"', "[payments]", "MEAN", True),
+    "distinct": _measure(BENEFITS, '"amounts"', "[payments]", "DISTINCT"),
 }
 FLAT = [m for m in MEASURES if m not in ("histogram", "column_label")]
 

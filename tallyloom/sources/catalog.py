@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import time
+import uuid
 import warnings
 from pathlib import Path
 
@@ -47,8 +48,8 @@ def has_required_columns(df: DataFrame, columns: list[str], only: bool = False)
     return want == have if only else want <= have
 
 
-def save_plan(df: DataFrame, description: str, folder: str | None = None) -> str | None:
-    """Write a query's plans to '<time> <description>.sql' in a folder, made if need be; nothing without a folder.
+def save_plan(df: DataFrame | str, description: str, folder: str | None = None) -> str | None:
+    """Write a query's plans, or the text of a statement, to '<time> <description>.sql' in a folder, made if need be; nothing without a folder.
 
     Errors of writing become warnings. Returns the path.
     """
@@ -59,14 +60,14 @@ def save_plan(df: DataFrame, description: str, folder: str | None = None) -> str
     path = Path(folder) / name
     try:
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(df._jdf.queryExecution().toString())
+        path.write_text(df if isinstance(df, str) else df._jdf.queryExecution().toString())
         time.sleep(0.002)  # names differ by milliseconds
     except OSError as e:
         warnings.warn(f"could not save {path}: {e}", stacklevel=2)
     return str(path)
 
 
-def create_table(spark: SparkSession, columns: dict[str, str], db: str = "[]", schema: str = "[]", table: str = "", overwrite: bool = False) -> DataFrame:
+def create_table(spark: SparkSession, columns: dict[str, str], db: str = "[]", schema: str = "[]", table: str = "", overwrite: bool = False, plans: str | None = None) -> DataFrame:
     """An empty table with the declared columns; an error if it exists and is not to be overwritten."""
     name = catalog_name(db, schema, table)
     if overwrite:
@@ -75,7 +76,9 @@ def create_table(spark: SparkSession, columns: dict[str, str], db: str = "[]", s
     for c, declared in columns.items():
         kind, nullable = spark_type(declared)
         fields.append("`" + c.replace("`", "``") + f"` {kind}" + ("" if nullable else " NOT NULL"))
-    spark.sql(f"CREATE TABLE {name} ({', '.join(fields)}) USING parquet")
+    statement = f"CREATE TABLE {name} ({', '.join(fields)}) USING parquet"
+    save_plan(statement, f"create {table}", plans)
+    spark.sql(statement)
     return spark.table(name)
 
 
@@ -88,12 +91,13 @@ def append_to_table(df: DataFrame, columns: list[str], db: str = "[]", schema: s
             raise ValueError(f"columns missing in the {side}: {missing}")
     chosen = df.select(*["`" + c.replace("`", "``") + "`" for c in columns])
     save_plan(chosen, f"append {table}", plans)
-    chosen.createOrReplaceTempView("tallyloom_append")
+    view = f"tallyloom_{uuid.uuid4().hex}"
+    chosen.createTempView(view)
     listed = ", ".join("`" + c.replace("`", "``") + "`" for c in columns)
     try:
-        spark.sql(f"INSERT INTO {name} ({listed}) SELECT {listed} FROM tallyloom_append")
+        spark.sql(f"INSERT INTO {name} ({listed}) SELECT {listed} FROM {view}")
     finally:
-        spark.catalog.dropTempView("tallyloom_append")
+        spark.catalog.dropTempView(view)
     return spark.table(name)
 
 
@@ -107,11 +111,13 @@ def write_table(
     bucket_by: list[str] | None = None,
     buckets: int = 64,
     codec: str = "zstd",
+    partition_by: list[str] | None = None,
+    sort_by: list[str] | None = None,
 ) -> DataFrame:
     """Store df as a table and return a DataFrame on what was stored.
 
     bucket_by clusters and sorts the files by columns, which later joins and groupings on them use without a shuffle: the
-    place of an index. codec is the files' compression.
+    place of an index; sort_by sorts them otherwise. partition_by makes a folder per value. codec is the files' compression.
     """
     spark, name = df.sparkSession, catalog_name(db, schema, table)
     check_case_clashes(df.columns)
@@ -120,7 +126,10 @@ def write_table(
     save_plan(df, f"write {table}", plans)
     w = df.write.format("parquet").mode("overwrite" if overwrite else "errorifexists").option("compression", codec)
     if bucket_by:
-        w = w.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+        w = w.bucketBy(buckets, *bucket_by)
+        w = w if sort_by == [] else w.sortBy(*(sort_by or bucket_by))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
     return spark.table(name)
 
@@ -136,41 +145,76 @@ def rewrite_clustered(spark: SparkSession, columns: list[str], db: str = "[]", s
 
 
 def compress_table(spark: SparkSession, db: str = "[]", schema: str = "[]", table: str = "", codec: str = "zstd") -> DataFrame:
-    """Store an existing table again with another compression."""
+    """Store an existing table again with another compression; its clustering and partitioning stay."""
     return _rewrite(spark, db, schema, table, codec=codec)
 
 
+def layout(spark: SparkSession, db: str = "[]", schema: str = "[]", table: str = "") -> dict:
+    """How a table is stored: bucket_by, buckets, sort_by, partition_by and codec, as far as they are set."""
+    state = spark._jsparkSession.sessionState()
+    meta = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(catalog_name(db, schema, table)))
+    names = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    out: dict = {}
+    if meta.bucketSpec().isDefined():
+        b = meta.bucketSpec().get()
+        out |= {"bucket_by": names(b.bucketColumnNames()), "buckets": b.numBuckets(), "sort_by": names(b.sortColumnNames())}
+    if meta.partitionColumnNames().size():
+        out["partition_by"] = names(meta.partitionColumnNames())
+    codec = meta.storage().properties().get("compression")
+    return out | ({"codec": codec.get()} if codec.isDefined() else {})
+
+
 def _rewrite(spark: SparkSession, db: str, schema: str, table: str, **how) -> DataFrame:
     name, beside = catalog_name(db, schema, table), f"{table.strip('[]')}__rewritten"
-    write_table(access_table(spark, db, schema, table), db, schema, beside, True, **how)
+    kept = layout(spark, db, schema, table)
+    if "bucket_by" in how:
+        kept.pop("sort_by", None)
+    write_table(access_table(spark, db, schema, table), db, schema, beside, True, **(kept | how))
     spark.sql(f"DROP TABLE {name}")
     spark.sql(f"ALTER TABLE {catalog_name(db, schema, beside)} RENAME TO {name}")
+    if kept.get("partition_by"):  # a renamed table has to be told of its folders again
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
 
 
-def copy_local(spark: SparkSession, local: pd.DataFrame, db: str = "[]", schema: str = "[]", table: str = "", overwrite: bool = False) -> DataFrame:
+def copy_local(spark: SparkSession, local: pd.DataFrame, db: str = "[]", schema: str = "[]", table: str = "", overwrite: bool = False, plans: str | None = None) -> DataFrame:
     """Store a local pandas table."""
     if not isinstance(local, pd.DataFrame):
         raise TypeError("a pandas DataFrame is needed; a Spark one is stored with write_table")
-    return write_table(spark.createDataFrame(local), db, schema, table, overwrite)
+    return write_table(spark.createDataFrame(local), db, schema, table, overwrite, plans)
 
 
-def create_view(df: DataFrame, view: str, overwrite: bool = False) -> DataFrame:
-    """A view on a query, for the session; an error if it exists and is not to be overwritten."""
+def create_view(
+    query: DataFrame | str, view: str, overwrite: bool = False, db: str = "[]", schema: str = "[]", plans: str | None = None, spark: SparkSession | None = None
+) -> DataFrame:
+    """A view on a query; an error if it exists and is not to be overwritten.
+
+    A DataFrame's view lasts for the session and belongs to no database, as Spark keeps no text of it. The text of a SQL
+    query becomes a view of the catalog that outlives the session, in a database or schema if one is named.
+    """
+    save_plan(query, f"view {view}", plans)
+    if isinstance(query, str):
+        spark, name = spark or SparkSession.active(), catalog_name(db, schema, view)
+        spark.sql(f"CREATE {'OR REPLACE ' if overwrite else ''}VIEW {name} AS {query}")
+        return spark.table(name)
+    if catalog_name(db, schema, view) != catalog_name(table=view):
+        raise ValueError("a DataFrame's view belongs to no database; give the text of its query for one that does")
     name = catalog_name(table=view).strip("`")
-    df.createOrReplaceTempView(name) if overwrite else df.createTempView(name)
-    return df.sparkSession.table(name)
+    query.createOrReplaceTempView(name) if overwrite else query.createTempView(name)
+    return query.sparkSession.table(name)
 
 
-def delete_table(spark: SparkSession, db: str = "[]", schema: str = "[]", table: str = "", mode: str = "table") -> None:
-    """Drop a table or a view, if there is one."""
+def delete_table(spark: SparkSession, db: str = "[]", schema: str = "[]", table: str = "", mode: str = "table", plans: str | None = None) -> None:
+    """Drop a table or a view, if there is one; of views of one name the session's goes first."""
     mode = mode.lower()
     if mode not in ("table", "view"):
         raise ValueError("mode is table or view")
     name = catalog_name(db, schema, table)
+    statement = f"DROP {mode.upper()} IF EXISTS {name}"
+    save_plan(statement, f"delete {table}", plans)
     if mode == "view" and name.count("`.`") == 0 and spark.catalog.dropTempView(name.strip("`")):
         return
-    spark.sql(f"DROP {mode.upper()} IF EXISTS {name}")
+    spark.sql(statement)
 
 
 def check_case_clashes(columns: list[str]) -> None:

@@ -23,12 +23,16 @@ def test_local_rounding():
 
 def test_example_runs(spark, tmp_path):
     paths = {p.rsplit("/", 1)[1][:-4]: p for p in api.provide_assembly_tool_example(str(tmp_path))}
-    for name in ("example_people", "example_payments"):
+    for name in ("example_readers", "example_loans"):
         spark.read.csv(paths[name], header=True, inferSchema=True).createOrReplaceTempView(name)
     long, wide = api.dataset_assembly_tool(spark, paths["control_population"], paths["control_measures"], silent=True)
     assert wide is None
     got = {(r["identity_column"], r["label_identity"], r["label_measure"]): r["value_measure"] for r in long.collect()}
-    assert got[1, "before", "sum_within"] == pytest.approx(52.459016393442624) and got[1, "after", "days_within"] == 278
+    assert got == {
+        (11, "first_term", "loans"): 2, (11, "first_term", "fees_in_term"): pytest.approx(2.5 * 11 / 20), (11, "first_term", "shelf=maps"): 1,
+        (11, "first_term", "shelf=novels"): 1, (12, "first_term", "loans"): 1, (12, "first_term", "fees_in_term"): 1.25,
+        (12, "first_term", "shelf=novels"): 1, (12, "spring", "loans"): 1, (12, "spring", "fees_in_term"): 4, (12, "spring", "shelf=poetry"): 1,
+    }
     assert "SparkSession" in api.display_connection_guidance()
 
 

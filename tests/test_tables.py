@@ -1,3 +1,4 @@
+import random
 import warnings
 
 import pandas as pd
@@ -57,6 +58,11 @@ def test_table_life(spark):
     again = catalog.rewrite_clustered(spark, ["b"], table="[copied]", buckets=4)
     assert again.count() == 5 and "bucket" in str(spark.sql("describe extended copied").collect()).lower()
     assert catalog.compress_table(spark, table="[copied]", codec="gzip").count() == 5
+    assert catalog.layout(spark, table="[copied]") == {"bucket_by": ["b"], "buckets": 4, "sort_by": ["b"], "codec": "gzip"}
+    assert catalog.rewrite_clustered(spark, ["a"], table="[copied]", buckets=2).count() == 5
+    assert catalog.layout(spark, table="[copied]") == {"bucket_by": ["a"], "buckets": 2, "sort_by": ["a"], "codec": "gzip"}
+    catalog.write_table(spark.range(5).withColumn("c", F.lit("x")), table="copied", overwrite=True, partition_by=["c"])
+    assert catalog.compress_table(spark, table="copied").count() == 5 and catalog.layout(spark, table="copied") == {"partition_by": ["c"], "codec": "zstd"}
     assert catalog.write_for_reuse(spark.range(3), table="copied", index_columns=["id"]).count() == 3
     with pytest.raises(TypeError):
         catalog.copy_local(spark, stored, table="x")
@@ -76,11 +82,39 @@ def test_views_and_columns(spark):
     assert catalog.table_or_view_exists(spark, table="[seen]")
     catalog.delete_table(spark, table="seen", mode="view")
     assert not catalog.table_or_view_exists(spark, table="[seen]")
+    spark.createDataFrame([(1,), (2,)], "n int").write.mode("overwrite").saveAsTable("seen_rows")
+    catalog.delete_table(spark, table="lasting", mode="view")
+    assert catalog.create_view("SELECT n FROM seen_rows WHERE n > 1", "lasting", schema="default").count() == 1
+    assert "lasting" in [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        catalog.create_view("SELECT 1 AS n", "lasting")
+    assert catalog.create_view("SELECT 5 AS n", "lasting", overwrite=True).first()[0] == 5
+    catalog.delete_table(spark, table="lasting", mode="view", schema="[default]")
+    assert not catalog.table_or_view_exists(spark, table="lasting")
+    with pytest.raises(ValueError, match="belongs to no database"):
+        catalog.create_view(df, "seen", schema="default")
     assert catalog.has_required_columns(df, ["id"], only=True) and not catalog.has_required_columns(df, ["ID"])
     with pytest.raises(ValueError, match="case"):
         catalog.check_case_clashes(["Fall", "fall"])
 
 
+def test_statements_are_saved(spark, tmp_path):
+    catalog.delete_table(spark, table="kept", plans=str(tmp_path))
+    catalog.create_table(spark, {"n": "int"}, table="kept", plans=str(tmp_path))
+    catalog.create_view("SELECT 1 AS n", "kept_view", True, plans=str(tmp_path))
+    catalog.delete_table(spark, table="kept_view", mode="view")
+    catalog.delete_table(spark, table="kept")
+    texts = sorted(p.read_text().split()[0] for p in tmp_path.glob("*.sql"))
+    assert texts == ["CREATE", "DROP", "SELECT"]
+
+
+def test_an_append_leaves_views_alone(spark):
+    spark.range(7).createOrReplaceTempView("tallyloom_append")
+    catalog.create_table(spark, {"id": "bigint"}, table="target", overwrite=True)
+    assert catalog.append_to_table(spark.range(2), ["id"], table="target").count() == 2 and spark.table("tallyloom_append").count() == 7
+    catalog.delete_table(spark, table="target")
+
+
 def test_saved_plans(spark, tmp_path):
     assert catalog.save_plan(spark.range(1), "x") is None
     path = catalog.save_plan(spark.range(1), "make. it: so", str(tmp_path / "new"))
@@ -113,9 +147,7 @@ def test_union_and_pivot(spark):
     assert sorted(map(tuple, reshape.pivot_table(long, "labels", "v").collect())) == [("alice", 12, 160), ("bob", 10, 150)]
 
 
-@pytest.mark.parametrize("inline", [200, 0])
-def test_pivot_zero_and_null(spark, monkeypatch, inline):
-    monkeypatch.setattr(reshape, "INLINE_LABELS", inline)
+def test_pivot_zero_and_null(spark):
     rows = [(1, "a", 5.0), (1, "a", None), (2, "b=x", None), (3, None, 4.0), (4, "b=x", None), (4, "a", 1.0), (None, "a", 2.0)]
     df = spark.createDataFrame(rows, "k int, l string, v double")
     out = reshape.pivot_table(df, "l", "v")
@@ -124,6 +156,28 @@ def test_pivot_zero_and_null(spark, monkeypatch, inline):
     assert got == {1: (5, 0), 2: (0, None), 3: (None, None), 4: (1, 0), None: (2, 0)}
 
 
+@pytest.mark.parametrize("fill", [0, 2.5, -1, None])
+def test_named_aggregates_equal_those_by_label(spark, fill):
+    """What goes by cells agrees with the aggregate of value or fill over all of a group's rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["a", "it's", "c\\d", None]), rng.choice([None, -2.0, 0.0, 1.5, 4.0])) for _ in range(60)]
+    rows += [(9, None, 1.0), (8, "a", None), (7, "a", 2.0)]
+    df = spark.createDataFrame(rows, "k int, l string, v double")
+    for name, f in (("sum", F.sum), ("min", F.min), ("max", F.max), ("avg", F.avg), ("count", F.count)):
+        got, want = reshape.pivot_table(df, "l", "v", name, fill), reshape.pivot_table(df, "l", "v", f, fill)
+        assert got.columns == want.columns == ["k", "a", "c\\d", "it's"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    with pytest.raises(ValueError, match="aggregator"):
+        reshape.pivot_table(df, "l", "v", "median")
+
+
+def test_a_pivot_of_many_labels(spark):
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1500).cast("string").alias("l"), F.lit(1).alias("v"))
+    out = reshape.pivot_table(df, "l", "v")
+    assert len(out.columns) == 1501
+    assert sorted(sum(r[1:]) for r in out.collect()) == [3000, 3000]
+
+
 def test_pivot_aggregators_and_clashes(spark):
     df = spark.createDataFrame([(1, "a", 5.0), (1, "b", 7.0)], "k int, l string, v double")
     assert tuple(reshape.pivot_table(df, "l", "v", "min").first()) == (1, 0, 0)
