@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from tallyloom.session import ship
 
 K, FAN, MERGE = 2048, 16, 64
+#: Rows a task groups by key at a time.
+AT_ONCE = 200_000
+#: Buffers read before finished sketches are passed on: 32 MB.
+READ_AT_ONCE = 2_000
 SKETCH = "key string, part bigint, level int, err double, items array<double>"
 
 
@@ -37,17 +41,18 @@ def collapse(buffers: list[np.ndarray], odd: bool) -> np.ndarray:
 class Sketch:
     """levels[i] holds full buffers of weight FAN^i, loose the values not yet in one; err bounds the rank error so far."""
 
-    __slots__ = ("err", "fan", "k", "levels", "loose", "turns")
+    __slots__ = ("err", "fan", "k", "levels", "loose", "many", "turns")
 
     def __init__(self, k: int = K, fan: int = FAN) -> None:
-        self.k, self.fan, self.levels, self.loose, self.err, self.turns = k, fan, [[]], [], 0.0, 0
+        self.k, self.fan, self.levels, self.loose, self.many, self.err, self.turns = k, fan, [[]], [], 0, 0.0, 0
 
     def add(self, values: np.ndarray) -> None:
         self.loose.append(values)
-        if sum(map(len, self.loose)) >= self.k:
+        self.many += len(values)  # of loose values
+        if self.many >= self.k:
             x = np.concatenate(self.loose)
             full = len(x) // self.k * self.k
-            self.loose = [x[full:]] if full < len(x) else []
+            self.loose, self.many = ([x[full:]] if full < len(x) else []), len(x) - full
             for i in range(0, full, self.k):
                 self.push(np.sort(x[i : i + self.k]), 0)
 
@@ -65,7 +70,7 @@ class Sketch:
     def rows(self) -> Iterator[tuple[int, float, np.ndarray]]:
         """(level, err, items), err on the first row only; loose values have level -1."""
         err = self.err
-        if self.loose and sum(map(len, self.loose)):
+        if self.many:
             yield -1, err, np.concatenate(self.loose)
             err = 0.0
         for level, buffers in enumerate(self.levels):
@@ -113,9 +118,9 @@ def partial_sketches(df: DataFrame, key: str, value: str, k: int = K, fan: int =
         from pyspark import TaskContext
 
         found: dict[str, Sketch] = {}
-        for b in batches:
-            d = b.column(0).dictionary_encode()
-            codes, names, x = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+        for keys, values in _gathered(batches):
+            d = keys.dictionary_encode()
+            codes, names, x = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist(), values.to_numpy(zero_copy_only=False)
             order = np.argsort(codes, kind="stable")
             codes, x = codes[order], x[order]
             for v, i, j in zip(*_runs(codes)):
@@ -125,6 +130,18 @@ def partial_sketches(df: DataFrame, key: str, value: str, k: int = K, fan: int =
     return clean.where("key is not null and value is not null and not isnan(value)").mapInArrow(task, SKETCH)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Columns of batches put together to some AT_ONCE rows, so that a key with few values is handled once, not per batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(len(x) for x in held) >= AT_ONCE:
+            yield pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held])
+            held = []
+    if held:
+        yield pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held])
+
+
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.array([], int)
     return codes[at], at, np.append(at[1:], len(codes))
@@ -133,9 +150,12 @@ def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _loaded(rows: pa.Table) -> Iterator[tuple[int, float, np.ndarray]]:
     """(level, err, items) of a table of sketch rows, in order of level and part."""
     rows = rows.sort_by([("level", "ascending"), ("part", "ascending")]).combine_chunks()
-    lists = rows.column("items").combine_chunks()
+    yield from _rows_of(rows.column("level"), rows.column("err"), rows.column("items").combine_chunks())
+
+
+def _rows_of(levels: pa.Array, errs: pa.Array, lists: pa.ListArray) -> Iterator[tuple[int, float, np.ndarray]]:
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    for i, (level, err) in enumerate(zip(rows.column("level").to_pylist(), rows.column("err").to_pylist())):
+    for i, (level, err) in enumerate(zip(levels.to_pylist(), errs.to_pylist())):
         yield level, err, flat[at[i] : at[i + 1]]
 
 
@@ -143,20 +163,39 @@ def merge_sketches(sketches: DataFrame, parts: int, k: int = K, fan: int = FAN,
     """One sketch per key from those of at most `parts` partitions (days, runs), in rounds of `merge` parts each.
 
     Buffers of equal level collapse as in a single sketch, so the error bound is that of the tree; all inputs must have
-    been made with the same k and fan. Part numbers only spread the work.
+    been made with the same k and fan. Part numbers only spread the work. A task reads its keys in order, one after the
+    other, and holds the sketches of some READ_AT_ONCE buffers besides the one it is at.
     """
 
-    def task(rows: pa.Table) -> pa.Table:
-        s = Sketch(k, fan)
-        for level, err, items in _loaded(rows):
-            s.load(level, err, items)
-        out = list(s.rows())
-        part = pc.min(rows.column("part")).as_py() // merge
-        return pa.Table.from_batches([_batch([rows.column("key")[0].as_py()] * len(out), part, [r[0] for r in out], [r[1] for r in out], [r[2] for r in out])])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s, done, rows = None, None, {}, 0
+        for b in batches:
+            keys, buckets = b.column("key").to_pylist(), b.column("bucket").to_pylist()
+            for key, row in zip(zip(keys, buckets), _rows_of(b.column("level"), b.column("err"), b.column("items"))):
+                if key != now:
+                    now, s = key, Sketch(k, fan)
+                    if rows >= READ_AT_ONCE:
+                        yield from _pairs(done)
+                        done, rows = {}, 0
+                    done[key] = s
+                rows += 1
+                level, err, items = row
+                s.load(level, err, items.copy())
+        yield from _pairs(done)
+
+    def _pairs(done: dict[tuple[str, int], Sketch]) -> Iterator[pa.RecordBatch]:
+        rows = [(key, part, *r) for (key, part), s in done.items() for r in s.rows()]
+        for i in range(0, len(rows), 500):
+            cols = list(zip(*rows[i : i + 500]))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in cols[4]])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(cols[4])))
+            arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "part", "level", "err", "items"])
 
     out = sketches
     while True:
-        out = out.groupBy("key", F.floor(F.col("part") / F.lit(merge)).alias("bucket")).applyInArrow(task, SKETCH)
+        near = out.withColumn("bucket", F.floor(F.col("part") / F.lit(merge)).cast("bigint")).repartition("key", "bucket")
+        out = near.sortWithinPartitions("key", "bucket", "level", "part").mapInArrow(task, SKETCH)
         parts = -(-parts // merge)
         if parts <= 1:
             return out
