@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyloom.llm import vocab
 from tallyloom.llm.encode import count_tokens
 from tallyloom.operators.positions import with_positions
-from tallyloom.session import ship
+from tallyloom.session import ship, write_shared
 
 
 @dataclass
@@ -175,9 +175,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     spark = items.sparkSession
     ship(spark)
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0))
+    sizes = write_shared(items.select(F.col(id_col).alias("id"), size.alias("size")), "sizes")  # counted once, read twice
     pieces = (
-        items.select(F.col(id_col).alias("id"), size.alias("size"))
-        .select("id", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
+        sizes.select("id", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("piece"))
         .withColumn("piece_size", F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("bigint"))
     )
     placed = with_positions(pieces, ["piece_size", "id", "piece"])
