@@ -4,13 +4,14 @@
    space. The vocabulary's own pieces never cross these borders, so a text's ids are its words' ids in order.
 2. Documents are packed into blocks of a few MB; a block holds its distinct words once and, per document, each word's
    place among them. Blocks are written to the shared folder.
-3. The blocks' words are shuffled by word and sorted, so every distinct word of the corpus meets in one place and is
-   encoded once.
+3. The blocks' words are shuffled by word and sorted, so that all places of a word meet and it is encoded once. The places
+   of a word that lies in more blocks than a partition should hold are split, and it is encoded once in each part.
 4. Ids go back to the blocks by position and are laid out into the documents' lists.
 
 Scale: what is shuffled by word is a block's distinct words, not its occurrences, so even the commonest word moves once
-per block. Nothing is broadcast but the name of the vocabulary, and no vocabulary of words is ever held in one place.
-A document is never cut: a text longer than a block is a block of its own.
+per block; partitions follow from the number of blocks, and Spark splits those that hot words fill (REBALANCE). Nothing is
+broadcast but the name of the vocabulary, and no vocabulary of words is ever held in one place. A document is never cut: a
+text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from tallyloom.session import ship, write_shared
 
 #: Occurrences of words in a block, before its last document.
 BLOCK_WORDS = 1_000_000
+#: Blocks whose words, or ids, a task takes: some 50 MB.
+BLOCKS_A_TASK = 8
+#: Ids decoded at a time, before a text's last.
+DECODED_IDS = 10_000_000
 
 
 def _lists(lens: np.ndarray, values: pa.Array) -> pa.Array:
@@ -106,11 +111,11 @@ def encode_words(enc, sizes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, n
     return n, pool[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
 
 
-def encoded_words(blocks: DataFrame, name: str, path: str | None, counts_only: bool) -> DataFrame:
+def encoded_words(blocks: DataFrame, name: str, path: str | None, counts_only: bool, partitions: int) -> DataFrame:
     """block, places, lens, ids: for places among a block's words the numbers of their ids and the ids themselves (none
-    if counts_only). Each distinct word of all blocks is encoded once."""
+    if counts_only). A distinct word is encoded once per partition its places fill: once, but for the hottest."""
     apart = blocks.select("block", F.posexplode("words").alias("place", "word")).select(F.xxhash64("word").alias("h"), "word", "block", "place")
-    near = apart.repartition("h").sortWithinPartitions("h").select("word", "block", "place")
+    near = apart.hint("rebalance", partitions, "h").sortWithinPartitions("h").select("word", "block", "place")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = vocab.encoder(name, path), vocab.piece_sizes(name, path)
@@ -163,8 +168,9 @@ def _encode(df: DataFrame, id_col: str, text_col: str, name: str, path: str | No
     ship(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     blocks = write_shared(word_blocks(df, id_col, text_col), "blocks")
-    found = encoded_words(blocks, name, path, counts_only)
-    docs = blocks.select("block", "ids", "lens", "codes")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_A_TASK))
+    found = encoded_words(blocks, name, path, counts_only, parts).repartition(parts, "block")
+    docs = blocks.select("block", "ids", "lens", "codes").repartition(parts, "block")
 
     def ids_task(block: pa.Table, words: pa.Table) -> pa.Table:
         doc, lens, codes, n, flat = _tables(block, words)
@@ -195,20 +201,35 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, name: str = vocab.DE
     return _encode(df, id_col, text_col, name, path, True)
 
 
-def piece_table(spark, name: str = vocab.DEFAULT, path: str | None = None) -> DataFrame:
-    """id, piece (bytes): the vocabulary, bounded by its size (about 50,000 rows)."""
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in vocab.ranks(name, path).items()], "id int, piece binary")
-
-
 def decode_corpus(df: DataFrame, id_col: str, ids_col: str, name: str = vocab.DEFAULT, path: str | None = None) -> DataFrame:
-    """id_col, text: texts of id lists, by joining each id to its piece and putting the pieces back by position.
+    """id_col, text: the text of every id list, one row per row of df.
 
-    id_col must be unique. NULL and empty lists give the empty text; an unknown id raises no error and adds nothing.
+    The join of ids to pieces is made inside the tasks, where each holds the vocabulary (some 50,000 short pieces) and takes
+    a batch's pieces by id: positions are kept, nothing is shuffled, and a list of any length stays one row. NULL and empty
+    lists give the empty text; ids that are NULL or not in the vocabulary add nothing; bytes that are no UTF-8 become
+    replacement characters. Repeated rows and equal or NULL ids keep a row each; other columns are dropped.
     """
-    ids = df.select(F.col(id_col).alias("key"), F.posexplode_outer(F.col(ids_col)).alias("pos", "id"))
-    pieces = F.broadcast(piece_table(df.sparkSession, name, path))  # at most about 50,000 short rows
-    back = ids.join(pieces, "id", "left").groupBy("key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("piece"))))).alias("p")
-    )
-    text = F.decode(F.unhex(F.array_join(F.col("p.piece"), "")), "UTF-8")
-    return back.select(F.col("key").alias(id_col), text.alias("text"))
+    ship(df.sparkSession)
+    kind = df.schema[id_col].dataType
+    arrow_id = to_arrow_type(kind)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = vocab.pieces(name, path)
+        for b in batches:
+            lists, at = b.column(1).cast(pa.list_(pa.int64())), 0
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(lens)
+            while at < len(lens):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - lens[at] + DECODED_IDS, side="right")))
+                ids = lists.slice(at, to - at).flatten()
+                known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(pieces) - 1)).fill_null(False)
+                found = pieces.take(pc.if_else(known, ids, len(pieces) - 1))
+                borders = np.frombuffer(found.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+                texts = borders[np.concatenate([[0], np.cumsum(lens[at:to])])]
+                data = found.buffers()[2] or pa.py_buffer(b"")
+                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(texts.astype(np.int64)), data])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at).cast(arrow_id), out.cast(pa.binary())], names=["id", "bytes"])
+                at = to
+
+    back = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(task, f"id {kind.simpleString()}, bytes binary")
+    return back.select(F.col("id").alias(id_col), F.make_valid_utf8(F.col("bytes").cast("string")).alias("text"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import folded
 from tallyloom.llm import encode, pack, repeats, sample, sketch
 from tallyloom.queries.common import fold_sql, table
+from tallyloom.session import write_shared
 
 WANTED = [1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0]
 RATE, CAPACITY = 0.1, 4096
@@ -48,6 +51,27 @@ def p1_from_days(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.percentiles(sketch.merge_sketches(again, 4096), WANTED)
 
 
+def p1_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """key, n, beyond: per label how many results of p1_percentiles and p1_from_days are off their rank by more than the
+    error they come with, by counting all values below and up to each."""
+    known = p1_percentiles(spark, folder).unionByName(p1_from_days(spark, folder))
+    one = F.struct("pct", "value", "rank_error", "n").alias("q")
+    per = known.groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("q"))  # twice as many as WANTED
+    rows = table(spark, folder, "output_long_thin").select(folded(F.col("label_measure")).alias("key"), F.col("value_measure").alias("x"))
+    rows = rows.where("key is not null and x is not null and not isnan(x)").groupBy("key", "x").agg(F.count(F.lit(1)).alias("m"))
+    both = rows.join(F.broadcast(per), "key")  # a row a label
+    n = 2 * len(WANTED)
+    side = [F.sum(F.when(F.col("x") < F.col("q")[i]["value"], F.col("m")).otherwise(0)).alias(f"lt{i}") for i in range(n)]
+    side += [F.sum(F.when(F.col("x") <= F.col("q")[i]["value"], F.col("m")).otherwise(0)).alias(f"le{i}") for i in range(n)]
+    got = both.groupBy("key").agg(F.sum("m").alias("n"), F.first("q").alias("q"), *side)
+    off = []
+    for i in range(n):
+        q, rank = F.col("q")[i], F.greatest(F.lit(1.0), F.ceil(F.col("q")[i]["pct"] / 100 * F.col("n") - 1e-9).cast("double"))
+        far = F.greatest(F.col(f"lt{i}") + 1 - rank, rank - F.col(f"le{i}"), F.lit(0.0))
+        off.append(F.coalesce(((far > q["rank_error"]) | (q["n"] != F.col("n"))).cast("bigint"), F.lit(1)))
+    return got.select("key", "n", sum(off, F.lit(0).cast("bigint")).alias("beyond"))
+
+
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sample.golden_sample(table(spark, folder, "data_project_population"), "snz_uid", "loaded_at", RATE)
 
@@ -94,11 +118,17 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts from their token ids."""
+    return encode.decode_corpus(p6_ids(spark, folder), "doc_id", "ids")
+
+
 def p6_lost(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents whose text does not come back from its token ids: none; NULL comes back as the empty text."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    back = encode.decode_corpus(p6_ids(spark, folder), "doc_id", "ids").withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id", "left").where(~F.coalesce(F.col("text"), F.lit("")).eqNullSafe(F.col("decoded"))).select("doc_id")
+    """Documents whose text does not come back from its token ids, by SHA-256: none; NULL comes back as the empty text."""
+    print_ = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+    docs = table(spark, folder, "documents").select("doc_id", print_("text").alias("print"))
+    back = encode.decode_corpus(p6_ids(spark, folder), "doc_id", "ids").select("doc_id", print_("text").alias("decoded"))
+    return docs.join(back, "doc_id", "left").where(~F.col("print").eqNullSafe(F.col("decoded"))).select("doc_id")
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +139,23 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_containers(spark, folder).where((F.col("n_tokens") > CAPACITY) & (F.col("piece") == 0)).select("doc_id")
 
 
+def p7_properties(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: documents placed, tokens lost, containers that hold too much, documents split without need, and whether there
+    are at most 1 percent more containers than the tokens need at least."""
+    pieces = write_shared(p7_containers(spark, folder), "pieces")
+    full = pieces.groupBy("container").agg(F.sum("piece_size").alias("size"))
+    docs = pieces.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_size").alias("size"))
+    a = full.where("size > 0").agg(F.count_if(F.col("size") > CAPACITY).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("size").alias("tokens"))
+    b = docs.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.sum(F.abs(F.col("n_tokens") - F.col("size"))).alias("lost"),
+        F.count_if((F.col("n_tokens") <= CAPACITY) & (F.col("pieces") > 1)).alias("split"),
+    )
+    tight = F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY) * 1.01 + 1
+    one = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k")  # a row each
+    return one.select("documents", "lost", "overfull", "split", tight.alias("tight"))
+
+
 def _repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repetition(table(spark, folder, "documents"), "doc_id", "text", ("lang", "source"))
 
@@ -117,6 +164,35 @@ def p8_method(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.outliers(_repetition(spark, folder), "doc_id", ("lang", "source"))
 
 
+#: Rows of each group of p8_planted that repeat little, and rows planted among them that repeat much: a third of all.
+CLEAN, PLANTED = 300, 150
+
+
+def p8_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """lang, source, planted, found, few_rejected: per group of documents, measures drawn around one centre and planted ones
+    far from it, a third of the group; how many of these p8_method's estimate rejects, and whether it rejects at most 5
+    percent of the others. The draws are hashes, the same in every run."""
+    groups = table(spark, folder, "documents").select("lang", "source").distinct()
+    rows = groups.select("lang", "source", F.explode(F.sequence(F.lit(1), F.lit(CLEAN + PLANTED))).alias("i"))
+    u = lambda k: (F.pmod(F.xxhash64("lang", "source", "i", F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    normal = lambda k: F.sqrt(-2 * F.log(u(2 * k))) * F.cos(2 * math.pi * u(2 * k + 1))
+    share = lambda x: 1 / (1 + F.exp(-x))
+    bad = F.col("i") > CLEAN
+    words, size = F.floor(F.exp(normal(0) * 0.5 + 6)) + 50, F.lit(20_000)
+    measures = rows.select(
+        F.col("i").alias("doc_id"), "lang", "source", words.alias("words"),
+        F.floor(words * share(normal(1) * 0.5 + F.when(bad, 2).otherwise(-2))).alias("repeated"),
+        F.floor(words * share(normal(2) * 0.4 + F.when(bad, -1.5).otherwise(0.5))).alias("kinds"),
+        size.alias("bytes"), F.floor(size * share(normal(3) * 0.5 + F.when(bad, 1).otherwise(-3))).alias("line_bytes"),
+    ).withColumn("share", F.col("repeated") / F.col("words"))
+    judged = repeats.outliers(measures, "doc_id", ("lang", "source"))
+    bad = F.col("doc_id") > CLEAN
+    return judged.groupBy("lang", "source").agg(
+        F.count_if(bad).alias("planted"), F.count_if(bad & F.col("rejected") & F.col("above")).alias("found"),
+        (F.count_if(~bad & F.col("rejected")) <= CLEAN // 20).alias("few_rejected"),
+    )
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _repetition(spark, folder).where(F.col("repeated") * REPEATED[1] > F.col("words") * REPEATED[0]).select("doc_id")
 
@@ -127,7 +203,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_percentiles, p1_from_days, p4_sample, p4_rows, p4_growth, p6_ids, p6_lost, p7_found, p7_containers, p8_method, p8_found, p8_shares)
+    for f in (
+        *(p1_found, p1_percentiles, p1_from_days, p1_ranks, p4_sample, p4_rows, p4_growth, p6_ids, p6_decode, p6_lost),
+        *(p7_found, p7_containers, p7_properties, p8_method, p8_planted, p8_found, p8_shares),
+    )
 }
 
 _CHOSEN = f"(seq::HUGEINT * {sample.GOLDEN} + {sample.SHIFT}) % {1 << sample.BITS} < {int(RATE * (1 << sample.BITS))}"
@@ -171,6 +250,12 @@ WHERE x < low_value OR x > high_value""",
     + """SELECT * REPLACE (CASE WHEN NOT isnan(value_measure) THEN value_measure END AS value_measure), coalesce(isnan(value_measure), false) AS is_nan
 FROM output_long_thin WHERE identity_column IN (SELECT snz_uid FROM s)""",
     "p4_growth": _GROWTH,
+    "p1_ranks": f"""
+SELECT {fold_sql('label_measure')} AS key, count(*) AS n, 0::BIGINT AS beyond FROM output_long_thin
+WHERE value_measure IS NOT NULL AND NOT isnan(value_measure) AND {fold_sql('label_measure')} IS NOT NULL GROUP BY 1""",
+    "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_properties": "SELECT count(*) AS documents, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS split, true AS tight FROM documents",
+    "p8_planted": f"SELECT lang, source, {PLANTED}::BIGINT AS planted, {PLANTED}::BIGINT AS found, true AS few_rejected FROM documents GROUP BY ALL",
     "p6_lost": "SELECT doc_id FROM documents WHERE false",
     "p8_found": _WORDS + "SELECT t.doc_id FROM t JOIN r ON t.doc_id = r.doc_id WHERE repeated * 5 > len(w) * 2",
     "p8_shares": _WORDS

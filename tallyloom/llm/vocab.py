@@ -49,3 +49,12 @@ def piece_sizes(name: str = DEFAULT, path: str | None = None):
     for piece, i in known.items():
         sizes[i] = len(piece)
     return sizes
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(name: str = DEFAULT, path: str | None = None):
+    """The bytes of each id's piece, in order of the ids, and an empty piece at the end."""
+    import pyarrow as pa
+
+    known = {i: piece for piece, i in ranks(name, path).items()}
+    return pa.array([known.get(i, b"") for i in range(max(known) + 1)] + [b""], pa.large_binary())

@@ -85,3 +85,31 @@ def test_documents_come_back(spark, monkeypatch):
     monkeypatch.setattr(e, "decode_corpus", lambda df, i, ids: real(df.where("doc_id % 2 = 0"), i, ids))
     odd = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 2 <> 0").count()
     assert lost(spark, folder).count() == odd > 0
+
+
+def test_decoding_keeps_a_row_each(spark, monkeypatch):
+    enc = vocab.encoder()
+    lists = [enc.encode_ordinary("alpha beta"), enc.encode_ordinary("gamma"), None, [], [None, -1, 10**6, *enc.encode_ordinary("ω")], enc.encode_ordinary("\U00010450")[:1]]
+    keys = [1, 1, None, None, 2, 3]
+    df = spark.createDataFrame([(k, x, "t") for k, x in zip(keys, lists)], "doc_id bigint, ids array<int>, text string").coalesce(1)
+    want = [(1, "alpha beta"), (1, "gamma"), (None, ""), (None, ""), (2, "ω")]
+    for most in (1, 10**7):
+        monkeypatch.setattr(e, "DECODED_IDS", most)
+        got = [(r["doc_id"], r["text"]) for r in e.decode_corpus(df, "doc_id", "ids").collect()]
+        assert got[:5] == want and got[5][0] == 3 and "\ufffd" in got[5][1]
+    assert e.decode_corpus(df.where("false"), "doc_id", "ids").count() == 0
+
+
+def test_hot_words_are_split(spark, monkeypatch):
+    """Partitions that the places of hot words fill are split, and the ids stay the same."""
+    monkeypatch.setattr(e.word_blocks, "__defaults__", (20,))
+    df = frame(spark, ["the same words again and again %d" % (i % 3) for i in range(3000)])
+    want = {r["doc_id"]: r["ids"] for r in e.encode_corpus(df, "doc_id", "text").collect()}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2000")
+    try:
+        out = e.encode_corpus(df, "doc_id", "text")
+        assert {r["doc_id"]: r["ids"] for r in out.collect()} == want
+        assert "AQEShuffleRead" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert want[0] == vocab.encoder().encode_ordinary("the same words again and again 0")
