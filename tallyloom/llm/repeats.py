@@ -156,7 +156,7 @@ X = ["x0", "x1", "x2", "x3"]
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
 #: Chi-square with 4 degrees of freedom: median and 97.5 percent point (fixed values).
 CHI_MEDIAN, CHI_FAR = 3.3567, 11.1433
-#: Groups of fewer rows have no estimate of their own; ridge, in units of the scale.
+#: Groups of fewer rows have no estimate of their own, unless outliers() is told another number; ridge, in units of the scale.
 LEAST, RIDGE = 50, 0.05
 #: Groups of up to so many rows are estimated in one task each (7 MB), larger ones by aggregations over all tasks.
 GATHERED = 200_000
@@ -300,12 +300,12 @@ def _distance() -> Column:
     return total
 
 
-def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame:
+def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...], least: int = LEAST) -> DataFrame:
     """id_col, by, share, distance, rejected, above, level: each document's squared robust distance from its group, in units
     in which the group's median is that of a chi-square variable, whether it is beyond that variable's 97.5 percent point, and
     whether more of its words are repeated than at the group's centre: documents rejected and above repeat themselves.
 
-    Groups are the combinations of by, NULL being a value. A document of a group of fewer than LEAST rows is judged by the
+    Groups are the combinations of by, NULL being a value. A document of a group of fewer than `least` rows is judged by the
     first of these that has as many: all rows with its first value of by, with its second, and so on; else by all rows. level
     names what judged it: the columns of by with commas, one of them, or 'all'. Rows without words belong to their group like
     others. All rows enter every estimate.
@@ -326,7 +326,7 @@ def outliers(measures: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame
     judges = sizes
     for k, c in enumerate(keys[1:], 1):
         judges = judges.join(small(sizes.groupBy(c).agg(F.sum("n0").alias(f"n{k}"))), c)
-    first = [F.when(F.col(f"n{k}") >= LEAST, F.struct(F.col(c).alias("grp"), F.lit(",".join(levels[k]) or "all").alias("level"), F.col(f"n{k}").alias("n"))) for k, c in enumerate(keys)]
+    first = [F.when(F.col(f"n{k}") >= least, F.struct(F.col(c).alias("grp"), F.lit(",".join(levels[k]) or "all").alias("level"), F.col(f"n{k}").alias("n"))) for k, c in enumerate(keys)]
     last = F.struct(F.col(keys[-1]).alias("grp"), F.lit("all").alias("level"), F.col(f"n{len(keys) - 1}").alias("n"))
     judges = write_shared(judges.select("key0", F.coalesce(*first, last).alias("j")).select("key0", "j.*"), "judges")
     grouped = rows.join(small(judges.drop("n")), "key0")
