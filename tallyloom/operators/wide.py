@@ -133,41 +133,46 @@ def sparse_deltas(df: DataFrame, spec: WideSpec, ids: list[tuple[int, str, str]]
     return _packed(cells.repartition(*([partitions] if partitions else []), *_keys(spec)), spec, F.lit(None).cast("date"))
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """One cell of two, either of which may be missing."""
+    first = F.struct(a["ver"], a["val"]) >= F.struct(b["ver"], b["val"])
+    both = F.struct(
+        F.when(first, a["ver"]).otherwise(b["ver"]).alias("ver"),
+        F.when(first, a["val"]).otherwise(b["val"]).alias("val"),
+        F.least(a["lo"], b["lo"]).alias("lo"),
+        F.greatest(a["hi"], b["hi"]).alias("hi"),
+        (a["bad"] | b["bad"]).alias("bad"),
+        (a["n"] + b["n"]).alias("n"),
+    )
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def compact_runs(runs: DataFrame, spec: WideSpec) -> DataFrame:
+    """One run, of the same form as its inputs (batch is NULL: none is needed any more), the latest version's value of each
+    cell kept. Runs that lie bucketed by key are merged without a shuffle. A task holds a key's rows of all runs at a time;
+    those of a key that only one run has are kept as they are."""
+    rows = runs.groupBy(*_keys(spec)).agg(
+        F.collect_list("cells").alias("maps"), F.coalesce(F.sum("unlisted"), F.lit(0)).alias("unlisted"), *[F.max(c).alias(c) for c in _carry(spec)]
+    )
+    rest = F.slice("maps", F.lit(2), F.size("maps"))
+    cells = F.aggregate(rest, F.element_at("maps", 1), lambda a, b: F.map_zip_with(a, b, lambda _, x, y: _merged(x, y)))
+    return rows.select(*_keys(spec), F.lit(None).cast("date").alias("batch"), cells.alias("cells"), "unlisted", *_carry(spec))
+
+
 def compact_cells(runs: DataFrame, spec: WideSpec) -> DataFrame:
-    """keys, label_id, cell, unlisted, carry: runs merged per cell, the latest version's value kept.
+    """keys, label_id, cell, unlisted, carry: compact_runs() with a row per cell.
 
-    Each key also has one row with label_id NULL, which carries unlisted and the carried columns. Runs that lie bucketed by
-    key are merged without a shuffle.
+    Each key also has one row with label_id NULL, which carries unlisted and the carried columns.
     """
     one = F.explode(
         F.concat(
-            F.array(F.struct(F.lit(None).cast("int").alias("label_id"), F.lit(None).cast(CELL).alias("c"))),
-            F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].alias("label_id"), e["value"].alias("c"))),
+            F.array(F.struct(F.lit(None).cast("int").alias("label_id"), F.lit(None).cast(CELL).alias("cell"))),
+            F.transform(F.map_entries("cells"), lambda e: F.struct(e["key"].alias("label_id"), e["value"].alias("cell"))),
         )
     )
-    rows = runs.select(*_keys(spec), "unlisted", *_carry(spec), one.alias("e")).select(
-        *_keys(spec),
-        "e.label_id",
-        "e.c",
-        F.when(F.col("e.label_id").isNull(), F.col("unlisted")).alias("unlisted"),
-        *[F.when(F.col("e.label_id").isNull(), F.col(c)).alias(c) for c in _carry(spec)],
-    )
-    merged = rows.groupBy(*_keys(spec), "label_id").agg(
-        F.max(F.struct("c.ver", "c.val")).alias("top"),
-        F.min("c.lo").alias("lo"),
-        F.max("c.hi").alias("hi"),
-        F.coalesce(F.bool_or("c.bad"), F.lit(False)).alias("bad"),
-        F.coalesce(F.sum("c.n"), F.lit(0)).alias("n"),
-        F.sum("unlisted").alias("unlisted"),
-        *[F.max(c).alias(c) for c in _carry(spec)],
-    )
-    cell = F.struct(F.col("top.ver").alias("ver"), F.col("top.val").alias("val"), "lo", "hi", "bad", "n")
-    return merged.select(*_keys(spec), "label_id", cell.alias("cell"), "unlisted", *_carry(spec))
-
-
-def compact_runs(runs: DataFrame, spec: WideSpec) -> DataFrame:
-    """One run, of the same form as its inputs (batch is NULL: none is needed any more)."""
-    return _packed(compact_cells(runs, spec), spec, F.lit(None).cast("date"))
+    head = F.col("e.label_id").isNull()
+    rows = compact_runs(runs, spec).select(*_keys(spec), "unlisted", *_carry(spec), one.alias("e"))
+    return rows.select(*_keys(spec), "e.label_id", "e.cell", F.when(head, F.col("unlisted")).alias("unlisted"), *[F.when(head, F.col(c)).alias(c) for c in _carry(spec)])
 
 
 def unclear(cell: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import folded
 from tallyloom.operators import features, intervals, wide
 from tallyloom.queries.common import fold_sql, table
-from tallyloom.session import new_scratch
+from tallyloom.session import new_scratch, partitions_for
 from tallyloom.streaming import wide_ingest
 
 PAYMENTS = 0  # the store's type of payments; causes have their ids from 1 on
@@ -119,9 +119,27 @@ def _ids(spark: SparkSession, folder: str) -> list[tuple[int, str, str]]:
     return wide.label_ids(table(spark, folder, "measure_reference"), "label_measure", "value_type")
 
 
+#: Ends of the loads of p5_found and p5_runs.
+LOADS = ("2020-09-01", "2021-05-01", "2022-01-01", "2022-09-01")
+
+
+def _runs(spark: SparkSession, folder: str, ids: list[tuple[int, str, str]]) -> DataFrame:
+    """Stored runs: the table in five loads, each a run of sparse deltas, four of them merged."""
+    rows, runs = table(spark, folder, "output_long_thin"), new_scratch(spark, "runs")
+    at = F.coalesce(F.col("loaded_at"), F.lit(LOADS[0]).cast("timestamp_ntz"))
+    ends = [F.lit(x).cast("timestamp_ntz") for x in LOADS]
+    for i in range(len(LOADS) + 1):
+        load = rows.where((at >= ends[i - 1] if i else F.lit(True)) & (at < ends[i] if i < len(ends) else F.lit(True)))
+        wide_ingest.append_batch(load, i, runs, WIDE, ids, partitions_for(rows))
+    wide_ingest.compact(spark, runs, WIDE)
+    found = wide_ingest.read_runs(spark, runs, WIDE)
+    return wide.sparse_deltas(rows.limit(0), WIDE, ids) if found is None else found
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     ids = _ids(spark, folder)
-    return wide.unclear_cells(wide.cell_states(table(spark, folder, "output_long_thin"), WIDE, ids), WIDE, ids)
+    run = wide.compact_runs(_runs(spark, folder, ids), WIDE)
+    return wide.unclear_cells(run.select("*", F.explode("cells").alias("label_id", "cell")), WIDE, ids)
 
 
 def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,20 +147,10 @@ def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.wide_of_cells(wide.cell_states(table(spark, folder, "output_long_thin"), WIDE, ids), WIDE, ids)
 
 
-#: Ends of the loads of p5_runs.
-LOADS = ("2020-09-01", "2021-05-01", "2022-01-01", "2022-09-01")
-
-
 def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of p5_wide from stored runs: the table in five loads, each a run of sparse deltas, four of them merged."""
-    ids, rows, runs = _ids(spark, folder), table(spark, folder, "output_long_thin"), new_scratch(spark, "runs")
-    at = F.coalesce(F.col("loaded_at"), F.lit(LOADS[0]).cast("timestamp_ntz"))
-    ends = [F.lit(x).cast("timestamp_ntz") for x in LOADS]
-    for i in range(len(LOADS) + 1):
-        load = rows.where((at >= ends[i - 1] if i else F.lit(True)) & (at < ends[i] if i < len(ends) else F.lit(True)))
-        wide_ingest.append_batch(load, i, runs, WIDE, ids)
-    wide_ingest.compact(spark, runs, WIDE)
-    return wide.wide_rows(wide_ingest.read_runs(spark, runs, WIDE), WIDE, ids)
+    """The rows of p5_wide from stored runs."""
+    ids = _ids(spark, folder)
+    return wide.wide_rows(_runs(spark, folder, ids), WIDE, ids)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_features, p2_store, p2_odd_amounts, p3_found, p3_periods, p5_found, p5_wide, p5_runs)}

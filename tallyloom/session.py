@@ -98,6 +98,12 @@ def list_complete(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p) if done(f))
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has files of data: those whose names begin with a dot or an underscore are not."""
+    fs, p = _file_system(spark, path)
+    return any(f.isFile() and f.getPath().getName()[0] not in "._" for f in fs.listStatus(p))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _file_system(spark, path)
     fs.delete(p, True)

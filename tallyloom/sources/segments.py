@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import delete_path, list_complete
+from tallyloom.session import delete_path, has_files, list_complete
 
 #: The column with a row's segment, as text: first and last of the numbers that are in it, and how often it was replaced.
 SEGMENT = "segment"
@@ -79,11 +79,13 @@ class Segments:
             delete_path(self.spark, self._path(r, *old))
 
     def read(self, ranges: list[Range] | None = None) -> DataFrame | None:
-        """Rows of the given segments, or of all that count, with the column SEGMENT; None if there are none."""
+        """Rows of the given segments, or of all that count, with the column SEGMENT; None if there are no segments or no rows."""
         have, wanted = self._there(), self.ranges() if ranges is None else list(ranges)
-        if not wanted:
+        # a segment without rows has no files, so none to tell the columns by
+        full = next((p for r in reversed(wanted) if has_files(self.spark, p := self._path(r, *have[r]))), None)
+        if full is None:
             return None
-        schema = self.spark.read.parquet(self._path(wanted[-1], *have[wanted[-1]])).schema
+        schema = self.spark.read.parquet(full).schema
         tick = lambda c: "`" + c.replace("`", "``") + "`"
         name, keys = f"tallyloom_{uuid.uuid4().hex}", ", ".join(map(tick, self.keys))
         columns = ", ".join(f"{tick(f.name)} {f.dataType.simpleString()}" for f in schema)

@@ -38,15 +38,19 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, spec: wide.WideSpec,
 
 
 def read_runs(spark: SparkSession, folder: str, spec: wide.WideSpec) -> DataFrame | None:
-    """All runs of a folder, None if there are none; grouping them by key needs no shuffle."""
+    """All runs of a folder, None if there are none or they have no rows; grouping them by key needs no shuffle."""
     found = runs_in(spark, folder, spec).read()
     return None if found is None else found.drop(SEGMENT)
 
 
 def compact(spark: SparkSession, folder: str, spec: wide.WideSpec, fan: int = FAN, everything: bool = False) -> list[tuple[int, int]]:
     """Merge the folder's runs tier by tier while a tier has `fan` of them, or all to one; the runs that are left, by numbers
-    of their batches. A cell is written again once per tier, so about log_fan of the number of batches times."""
+    of their batches. A cell is written again once per tier, so about log_fan of the number of batches times. Runs that are
+    all without rows are dropped."""
     runs = runs_in(spark, folder, spec)
     while (some := runs.ranges() if everything else tiers(runs.ranges(), fan)) and len(some) > 1:
-        runs.replace(wide.compact_runs(runs.read(some).drop(SEGMENT), spec), some)
+        if (found := runs.read(some)) is None:
+            runs.drop(some)
+        else:
+            runs.replace(wide.compact_runs(found.drop(SEGMENT), spec), some)
     return runs.ranges()

@@ -37,6 +37,15 @@ def test_an_unfinished_segment_does_not_count(spark, tmp_path):
     assert s.ranges() == [(0, 0)] and s.read().count() == 10
 
 
+def test_segments_without_rows(spark, tmp_path):
+    s = Segments(spark, f"file://{tmp_path}/s", ["k"], 2)
+    s.write(rows(spark, 0, 0))
+    assert s.read() is None
+    s.write(rows(spark, 0, 5))
+    s.write(rows(spark, 0, 0))
+    assert s.ranges() == [(0, 0), (1, 1), (2, 2)] and s.read().count() == 5 and s.read([(2, 2)]) is None
+
+
 def test_merged_segments_count_instead_of_their_parts(spark, tmp_path):
     s = Segments(spark, f"file://{tmp_path}/s", ["k"], 2)
     for i in range(3):

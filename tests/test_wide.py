@@ -132,3 +132,38 @@ def test_attribute_ids_are_bounded_and_sorted(spark):
     ref = spark.createDataFrame([("b", "flag"), ("a", "real"), (None, "real")], "label string, kind string")
     assert wide.label_ids(ref, "label", "kind") == [(1, "a", "real"), (2, "b", "flag")]
     assert wide.suits(F.lit(1.0), F.lit("flag")) is not None
+
+
+def found(spark, folder, rows):
+    """p5_found over rows of identity, label, value and the year of the load."""
+    from tallyloom.queries import prepared
+
+    schema = (
+        "identity_column bigint, label_identity string, label_measure string, value_measure double, loaded_at timestamp_ntz, "
+        "summary_period_start_date date, summary_period_end_date date, label_summary_period string"
+    )
+    long = [(who, "x", label, x, y and dt.datetime(y, 1, 1), T0.date(), T0.date(), "p") for who, label, x, y in rows]
+    spark.createDataFrame(long, schema).write.parquet(f"{folder}/output_long_thin.parquet")
+    spark.createDataFrame(IDS, "id int, label_measure string, value_type string").write.parquet(f"{folder}/measure_reference.parquet")
+    return prepared.p5_found(spark, str(folder))
+
+
+def test_unclear_cells_come_from_stored_and_merged_runs(spark, tmp_path):
+    rows = [
+        *[(1, "avg=c", float(y), y) for y in (2020, 2023)],  # no load by itself holds both values
+        *[(2, "avg=c", y / 1000, y) for y in (2020, 2021, 2022, 2023)],
+        *[(2, "ANY-A", 2.0, 2020), (2, "any_a", 1.0, 2023)],
+        *[(3, "num b", float("nan"), 2021), (3, "other", 5.0, 2021), (None, "any_a", 7.0, 2022), (4, "num b", -1.0, None)],
+    ]
+    out = found(spark, tmp_path, rows)
+    assert sorted(map(tuple, out.collect())) == [(1, "x", "avg=c"), (2, "x", "any_a"), (4, "x", "num b")]
+    assert {x.split("/")[-2].rsplit("-", 2)[0] for x in out.inputFiles()} == {"s000000000-000000003", "s000000004-000000004"}
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("year", [2020, 2023])
+def test_loads_without_rows(spark, tmp_path, year):
+    rows = [(1, "any_a", 2.0, year), (None, "any_a", 7.0, 2021)]
+    assert found(spark, tmp_path / "some", rows).collect() == [(1, "x", "any_a")]
+    none = found(spark, tmp_path / "none", rows[1:])
+    assert none.collect() == [] and none.columns == ["identity_column", "label_identity", "label_measure"]
